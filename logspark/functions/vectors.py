@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -18,7 +23,7 @@ def l2_normalize(a: Column) -> Column:
     """Divide by the length; a zero vector stays as it is."""
     length = norm(a)
     safe = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(a, lambda x: x.cast("double") / safe)
+    return let(safe, lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -30,7 +35,8 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(l2_normalize(a), l2_normalize(b))
+    lengths = norm(a) * norm(b)
+    return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
 def line_template(line: Column) -> Column:
@@ -42,7 +48,6 @@ def hash_vector(template: Column, dim: int = 64) -> Column:
     """Unit vector of hashed word counts of a template; no words give the zero vector."""
     tokens = F.filter(F.split(template, " "), lambda t: t != "")
     slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double")
-    )
-    return l2_normalize(counts)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    counts = let(slots, lambda got: F.transform(places, lambda d: F.size(F.filter(got, lambda s: s == d)).cast("double")))
+    return let(counts, l2_normalize)
