@@ -53,42 +53,57 @@ def order_buckets(
     return cut.withColumn(out, F.array(F.col("_b1"), tie)).drop("_k1", "_k2", "_b1", "_b2")
 
 
+def text_key(text: Column) -> Column:
+    """A number that rises with the first six bytes of a text, for buckets over text order."""
+    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
     first: Column,
     second: Column,
     *,
+    second_key: Column | None = None,
     out: str = "line_no",
     value: str | None = None,
     running: str = "running",
+    how: str = "sum",
     parts: int | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 0 in the order ``(first, second)``.
 
-    With ``value`` the column ``running`` holds the sum of ``value`` over all earlier rows.
-    ``(first, second)`` must be unique within a group.
+    With ``value`` the column ``running`` holds the ``sum``, ``min`` or ``max`` of ``value`` over all
+    earlier rows (0 or null before the first).
+    ``(first, second)`` must be unique within a group. Both are numbers or times; a ``second`` of another
+    type needs a numeric ``second_key`` that never falls along it, such as :func:`text_key`.
     """
     group = list(group)
-    cut = order_buckets(df, first, second, parts)
+    cut = order_buckets(df, first, second if second_key is None else second_key, parts)
     keys = [*group, "_bucket"]
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     amount = F.col(value) if value else F.lit(0)
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_v"))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), fold(amount).alias("_v"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"),
-        F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_base"),
+        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"), fold("_v").over(before).alias("_base")
     )
     inside = Window.partitionBy(*keys).orderBy(first, second)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     ranked = cut.withColumn("_pos", F.row_number().over(inside) - 1)
     if value:
-        ranked = ranked.withColumn("_sum", F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
+        earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("_own", fold(amount).over(earlier))
     joined = ranked.join(starts, keys)
     columns = [*df.columns, (F.col("_skip") + F.col("_pos")).alias(out)]
     if value:
-        columns.append((F.col("_base") + F.col("_sum")).alias(running))
+        zero = F.lit(0)
+        total = {
+            "sum": F.coalesce("_base", zero) + F.coalesce("_own", zero),
+            "min": F.least("_base", "_own"),
+            "max": F.greatest("_base", "_own"),
+        }[how]
+        columns.append(total.alias(running))
     return joined.select(*columns)
 
 
