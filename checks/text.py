@@ -244,7 +244,7 @@ def parse_model_response(t: Tables):
         cause["next_steps"].alias("next_steps"),
         cause["confidence"].alias("confidence"),
     )
-    report = reports.parse_report(F.col("raw"), F.col("log_text"), fallback)
+    report = reports.parse_report(F.col("raw"), fallback)
     return t.sql(REPLIES, "orders").select("o_orderkey", report.alias("r")).select(
         "o_orderkey", "r.severity", "r.root_cause", F.size("r.evidence").cast("bigint").alias("evidence"), "r.confidence"
     )

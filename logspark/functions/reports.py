@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logspark.functions.text import LINE_END, strip
+from logspark.functions.vectors import let
 
 # Accepted status words.
 STATUSES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "HEALTHY")
@@ -134,16 +135,20 @@ def trigger_label(kind: Column, alarm: Column) -> Column:
 
 def strip_fence(raw: Column) -> Column:
     """A reply without its Markdown code fence and ``json`` tag."""
-    text = strip(raw)
-    inner = F.regexp_replace(F.get(F.split(text, "```"), F.lit(1)), "^json", "")
-    return F.when(text.startswith("```"), strip(inner)).otherwise(text)
+    def inside(text: Column) -> Column:
+        inner = F.regexp_replace(F.get(F.split(text, "```"), F.lit(1)), "^json", "")
+        return F.when(text.startswith("```"), strip(inner)).otherwise(text)
+
+    return let(strip(raw), inside)
 
 
 def drop_fence_lines(raw: Column) -> Column:
     """A reply without any line that opens or closes a code fence, if it starts with one."""
-    text = strip(raw)
-    kept = F.filter(F.split(text, "\n"), lambda x: ~strip(x).startswith("```"))
-    return F.when(text.startswith("```"), F.array_join(kept, "\n")).otherwise(text)
+    def inside(text: Column) -> Column:
+        kept = F.filter(F.split(text, "\n"), lambda x: ~strip(x).startswith("```"))
+        return F.when(text.startswith("```"), F.array_join(kept, "\n")).otherwise(text)
+
+    return let(strip(raw), inside)
 
 
 def is_json(text: Column) -> Column:
@@ -151,33 +156,35 @@ def is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-def parse_report(raw: Column, text: Column, fallback: Column) -> Column:
+def parse_report(raw: Column, fallback: Column) -> Column:
     """The stored triage reply as a struct.
 
     List fields default to empty and the confidence to 0.5. Without valid JSON, a known severity or a
     root cause the rule-based ``fallback`` struct (same fields) is taken.
     """
-    clean = strip_fence(raw)
-    got = F.from_json(clean, REPORT_SCHEMA)
-    usable = is_json(clean) & got["severity"].isin("INFO", "WARNING", "HIGH", "CRITICAL") & got["root_cause"].isNotNull()
     empty = F.array().cast("array<string>")
-    report = F.struct(
-        got["severity"].alias("severity"),
-        got["root_cause"].alias("root_cause"),
-        F.coalesce(got["affected_components"], empty).alias("affected_components"),
-        F.coalesce(got["evidence"], empty).alias("evidence"),
-        F.coalesce(got["next_steps"], empty).alias("next_steps"),
-        F.coalesce(got["confidence"], F.lit(0.5)).alias("confidence"),
-    )
-    return F.when(usable, report).otherwise(fallback)
+
+    def report(got: Column) -> Column:
+        full = F.struct(
+            got["severity"].alias("severity"),
+            got["root_cause"].alias("root_cause"),
+            F.coalesce(got["affected_components"], empty).alias("affected_components"),
+            F.coalesce(got["evidence"], empty).alias("evidence"),
+            F.coalesce(got["next_steps"], empty).alias("next_steps"),
+            F.coalesce(got["confidence"], F.lit(0.5)).alias("confidence"),
+        )
+        usable = got["severity"].isin("INFO", "WARNING", "HIGH", "CRITICAL") & got["root_cause"].isNotNull()
+        return F.when(usable, full).otherwise(fallback)
+
+    parsed = let(strip_fence(raw), lambda text: F.when(is_json(text), F.from_json(text, REPORT_SCHEMA)))
+    return let(parsed, report)
 
 
 def parse_plan(raw: Column) -> Column:
     """The stored look-up plan as a struct of four arrays; invalid JSON gives four empty arrays."""
-    clean = drop_fence_lines(raw)
-    plan = F.when(is_json(clean), F.from_json(clean, PLAN_SCHEMA))
     fields = ("metrics", "log_queries", "status_checks", "resource_lookups")
-    return F.struct(*[F.coalesce(plan[f], F.array()).alias(f) for f in fields])
+    plan = let(drop_fence_lines(raw), lambda text: F.when(is_json(text), F.from_json(text, PLAN_SCHEMA)))
+    return let(plan, lambda p: F.struct(*[F.coalesce(p[f], F.array()).alias(f) for f in fields]))
 
 
 def build_prompt(lines: Column, max_lines: int = 50) -> Column:

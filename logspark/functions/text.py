@@ -12,11 +12,11 @@ ANSI_ESCAPE = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 # Fixed value: line ends that split a text into lines.
 LINE_END = "\r\n|[\n\u000b\u000c\r\u001c\u001d\u001e\u0085\u2028\u2029]"
 # Fixed value: white space cut from both ends of a text.
-SPACE = r"[\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACE = "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def truncate_text(text: Column, max_length: int = 1024) -> Column:

@@ -14,6 +14,7 @@ from logspark.operators.lookups import (
     run_status_specs,
 )
 from logspark.operators.training import training_rows
+from logspark.session import save_and_read
 from logspark.sources.stores import import_incident_export, upsert_incidents
 
 # Characters of data in an answer, its end mark, and the text without data.
@@ -26,7 +27,8 @@ CATEGORIES = {"CheckMetrics": "metrics", "CheckLogs": "logs", "CheckStatus": "st
 
 def plan_specs(plans: DataFrame, raw: str = "reply") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metric, log and status specs of stored plan replies ``incident_id, end_ts, reply``."""
-    parsed = plans.select("incident_id", "end_ts", parse_plan(F.col(raw)).alias("_p"))
+    # Parsed once into a table, as every look-up reads its specs more than once.
+    parsed = save_and_read(plans.select("incident_id", "end_ts", parse_plan(F.col(raw)).alias("_p")), "plans")
 
     def specs(name: str) -> DataFrame:
         rows = parsed.select("incident_id", "end_ts", F.inline(f"_p.{name}"))
@@ -107,11 +109,12 @@ def training_data(export: DataFrame) -> DataFrame:
     items = import_incident_export(export)
 
     def flag(name: str) -> Column:
-        return F.try_variant_get("item", f"$.{name}", "string") == "true"
+        tagged = F.try_variant_get("item", f"$.{name}.BOOL", "boolean")
+        return F.coalesce(tagged, F.try_variant_get("item", f"$.{name}", "string") == "true", F.lit(False))
 
     records = items.select(
         F.col("incident_id").alias("record_id"),
-        F.transform(F.try_variant_get("item", "$.anomalous_logs", "array<variant>"), F.to_json).alias("anomalous_logs"),
+        F.transform(F.try_variant_get("item", "$.anomalous_logs", "array<variant>"), lambda v: F.to_json(v)).alias("anomalous_logs"),
         flag("is_critical").alias("is_critical"),
         flag("needs_escalation").alias("needs_escalation"),
         F.try_variant_get("item", "$.confidence", "double").alias("confidence"),

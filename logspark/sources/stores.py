@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from logspark.functions.reports import is_json, trigger_label
 from logspark.functions.rules import SEVERITIES
@@ -37,7 +38,7 @@ def _untag(value):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_item(items: pd.Series) -> pd.Series:
     def plain(text: str | None) -> str | None:
         try:

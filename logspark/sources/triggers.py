@@ -7,12 +7,13 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PAYLOAD = "logGroup string, logEvents array<struct<id: string, timestamp: bigint, message: string>>"
 LOOKBACK_MINUTES = 30
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _gunzip(data: pd.Series) -> pd.Series:
     def text(raw: bytes | None) -> str | None:
         try:
