@@ -7,13 +7,12 @@ batch id, so a repeated batch replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from logspark.functions.reports import rca_is_healthy
 from logspark.functions.rules import filter_pattern
@@ -104,34 +103,12 @@ def session_stream(turns: DataFrame, idle: str = SESSION_IDLE, late: str = "10 m
     return found.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "turns")
 
 
-class _LiveRecord(StatefulProcessor):
-    """Keeps the newest record of a key until its time to live is over; passes on first sightings."""
+def ttl_stream(records: DataFrame, ttl: str, key: str = "id") -> DataFrame:
+    """First sightings of each ``key`` by event time ``ts``: a record lives for ``ttl`` and hides repeats.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at bigint", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(pdf["at"].max()) for pdf in rows)
-        fresh = not self.seen.exists()
-        self.seen.update((max(newest, newest if fresh else self.seen.get()[0]),))
-        yield pd.DataFrame({"id": [key[0]], "at": [newest], "fresh": [fresh]})
-
-    def close(self) -> None:
-        pass
-
-
-def ttl_stream(records: DataFrame, ttl_hours: int) -> DataFrame:
-    """``id, at, fresh``: the newest time of each id in a batch, and whether no live record existed.
-
-    ``records`` holds ``id`` (bigint) and ``at`` (bigint). Batches are first reduced to one row per id,
-    so a busy id sends one row. Needs the RocksDB state store.
+    Spark keeps one entry per live key and drops it when the watermark has passed its time to live.
     """
-    return records.groupBy("id").transformWithStateInPandas(
-        _LiveRecord(ttl_hours * 3_600_000), "id bigint, at bigint, fresh boolean", "Update", "ProcessingTime"
-    )
+    return records.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
 def bandit_sums(feedback: DataFrame) -> DataFrame:
