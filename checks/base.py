@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators.ordering import number_rows
+from logspark.session import save_and_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,6 +119,10 @@ class Tables:
         """Log lines numbered per source in time order."""
         return number_rows(self.lines(), ["source_id"], F.col("ts"), F.col("event_id"))
 
+    def log_table(self) -> DataFrame:
+        """:meth:`log_lines` written once as a table, for queries that read it several times."""
+        return save_and_read(self.log_lines().select("source_id", "line_no", "line"), "log-lines")
+
     def feedback(self) -> DataFrame:
         return self.sql(FEEDBACK, "orders")
 

@@ -10,6 +10,7 @@ from logspark.functions import reports
 from logspark.functions.text import estimate_tokens
 from logspark.operators import anomaly, bandit, budget, feedback, forecast, models, similarity, training, windows
 from logspark.plans import scan
+from logspark.session import save_and_read
 
 # ---- similarity -------------------------------------------------------------------------------
 
@@ -139,7 +140,8 @@ def multi_source_scan(t: Tables):
     from logspark.operators.ordering import number_rows
 
     rows = t.lines().join(t.log_events().select("event_id", "log_group"), "event_id").withColumn("run_id", days)
-    lines = number_rows(rows, ["run_id", "log_group"], F.col("ts"), F.col("event_id")).select("run_id", "log_group", "line_no", "line")
+    lines = number_rows(rows, ["run_id", "log_group"], F.col("ts"), F.col("event_id"))
+    lines = save_and_read(lines.select("run_id", "log_group", "line_no", "line"), "log-lines")
     budgets = lines.select("run_id").distinct().withColumn("available", F.lit(2000).cast("bigint"))
     return scan.multi_source_scan(lines, budgets)
 
@@ -569,7 +571,7 @@ def reconstruction_anomaly(t: Tables):
 
 @query("sequence_anomaly")
 def sequence_anomaly(t: Tables):
-    lines = _labelled(t)
+    lines = save_and_read(_labelled(t), "labelled")
     model = models.fit_sequence(lines)
     scored = models.sequence_anomaly(model, lines)
     limit = anomaly.calibrate_percentile(models.score_windows(model, lines, label="label"))
@@ -599,6 +601,6 @@ def reward_model(t: Tables):
 
 @query("train")
 def train(t: Tables):
-    lines = t.log_lines().select("source_id", "line_no", "line")
+    lines = t.log_table()
     _, registry = models.train_detector(lines)
     return registry.select("kind", F.round("threshold", 6).alias("threshold"), F.round("val_loss", 6).alias("val_loss"))

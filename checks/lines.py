@@ -10,6 +10,7 @@ from logspark.functions.text import words
 from logspark.functions.vectors import l2_normalize
 from logspark.operators import anomaly, explain, ordering, windows
 from logspark.plans.triage import triage
+from logspark.session import save_and_read
 from logspark.sources import lines as sources
 
 # Log lines, and the same lines of each source again as one word per line (source_id below zero).
@@ -18,7 +19,7 @@ WORD_LINES = """SELECT source_id, line_no, line FROM log_lines UNION ALL
 
 
 def _word_lines(t: Tables):
-    own = t.log_lines().select("source_id", "line_no", "line")
+    own = t.log_table()
     split = own.select("source_id", F.col("line_no").alias("n"), F.posexplode(F.split("line", " ")).alias("p", "line"))
     return own.union(split.select(-1 - F.col("source_id"), F.col("n") * 100 + F.col("p"), "line"))
 
@@ -50,7 +51,7 @@ DOC_WORDS = "SELECT doc_id AS source_id, line_no, line FROM doc_lines"
 
 @query("token_rarity", oracle(RARITY, "log_lines", w="SELECT source_id, line_no, line FROM log_lines", tokens=TOKENS))
 def token_rarity(t: Tables):
-    return explain.token_rarity(t.log_lines())
+    return explain.token_rarity(t.log_table())
 
 
 BURST = """SELECT source_id, count(*) FILTER (regexp_matches(lower(line), 'error|exception|fatal')) AS error_count, count(*) AS line_count,
@@ -126,7 +127,8 @@ TEXT_SQL = f"""coalesce(nullif(concat_ws(' ', CASE WHEN signals <> '' THEN 'Dete
     ),
 )
 def explanation_text(t: Tables):
-    both = explain.extract_signals(_plain(t)).join(explain.find_patterns(_plain(t)), "source_id")
+    lines = t.log_table().withColumn("line", F.substring("line", 21, 1 << 30))
+    both = explain.extract_signals(lines).join(explain.find_patterns(lines), "source_id")
     return both.select("source_id", explain.explanation_text(F.col("signals"), F.col("patterns")).alias("explanation"))
 
 
@@ -145,7 +147,7 @@ def explain_sources(t: Tables):
         F.map_entries("token_scores"),
         lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("bigint").cast("string")),
     )
-    return explain.explain(t.log_lines()).select(
+    return explain.explain(t.log_table()).select(
         "source_id",
         F.array_join("signals", "|").alias("signals"),
         F.array_join("patterns", "|").alias("patterns"),
@@ -363,7 +365,7 @@ BLOCKS = """SELECT source_id, min(start) AS line_start, max(start) + 3 AS line_e
 
 def _kept(t: Tables):
     scored = windows.sliding_windows(_scored(t), 4, 1, [F.round(F.avg("score"), 6).alias("score")])
-    return ordering.top_share(scored, ["source_id"], F.lit(0.25), "score", "start")
+    return ordering.top_share(save_and_read(scored, "windows"), ["source_id"], F.lit(0.25), "score", "start")
 
 
 @query("top_percentile_windows", oracle("SELECT * FROM kept", "log_lines", w=_window_sql(4, 1), sc=SCORED, ws=WINDOW_SCORE, kept=KEPT))
@@ -373,7 +375,7 @@ def top_percentile_windows(t: Tables):
 
 @query("merge_blocks", oracle(BLOCKS, "log_lines", w=_window_sql(4, 1), sc=SCORED, ws=WINDOW_SCORE, kept=KEPT))
 def merge_blocks(t: Tables):
-    return windows.merge_blocks(_kept(t), 4)
+    return windows.merge_blocks(save_and_read(_kept(t), "kept"), 4)
 
 
 # Line scores by hashed words, as SQL.
@@ -395,7 +397,7 @@ DETECT = dict(enc=ENCODED, worded=WORDED, slotted=SLOTTED, unit=UNIT, centre=CEN
 
 @query("detect", oracle("SELECT source_id, line_no, round(score, 6) AS score, is_anomaly FROM detected", "log_lines", **DETECT))
 def detect(t: Tables):
-    return anomaly.detect_lines(t.log_lines()).select("source_id", "line_no", F.round("score", 6).alias("score"), "is_anomaly")
+    return anomaly.detect_lines(t.log_table()).select("source_id", "line_no", F.round("score", 6).alias("score"), "is_anomaly")
 
 
 @query(
@@ -410,7 +412,7 @@ def detect(t: Tables):
 )
 def detect_cascade(t: Tables):
     listed = t.events.select(F.col("user_id").alias("source_id")).union(t.customer.select("c_custkey"))
-    found = anomaly.detect_cascade(t.log_lines())
+    found = anomaly.detect_cascade(t.log_table())
     return anomaly.detect_summary(found, listed).drop("threshold")
 
 
@@ -421,7 +423,7 @@ def _excerpt_sql(n):
 
 @query("anomalous_excerpt", oracle(_excerpt_sql(5), "log_lines", **DETECT))
 def anomalous_excerpt(t: Tables):
-    return anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_lines()), 5).select("source_id", "excerpt")
+    return anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_table()), 5).select("source_id", "excerpt")
 
 
 def _first_rule(text, rule_list, value):
@@ -505,7 +507,7 @@ TRIAGE = f"""SELECT u AS source_id, coalesce(severity, 'INFO') AS severity, coal
 )
 def triage_sources(t: Tables):
     listed = t.events.select(F.col("user_id").alias("source_id")).union(t.customer.select("c_custkey"))
-    got = triage(t.log_lines().select("source_id", "line_no", "line"), listed)
+    got = triage(t.log_table(), listed)
     return got.select(
         "source_id", "severity", "root_cause", "confidence", "anomalous_line_count", "total_line_count",
         F.array_join("top_signals", "|").alias("top_signals"),
@@ -514,7 +516,7 @@ def triage_sources(t: Tables):
 
 @query("triage_service")
 def triage_service(t: Tables):
-    got = triage(t.log_lines().select("source_id", "line_no", "line"), profile="service")
+    got = triage(t.log_table(), profile="service")
     return got.select("source_id", "severity", "root_cause", "confidence", "anomalous_line_count", "total_line_count")
 
 
@@ -527,7 +529,7 @@ def triage_service(t: Tables):
     ),
 )
 def evidence_lines(t: Tables):
-    got = anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_lines()), 3).filter(F.size("lines") > 0)
+    got = anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_table()), 3).filter(F.size("lines") > 0)
     return got.select("source_id", F.array_join(F.slice("lines", 1, 3), "\n").alias("evidence"))
 
 
@@ -543,7 +545,7 @@ def evidence_lines(t: Tables):
 def build_prompt(t: Tables):
     from logspark.functions.reports import ANALYSIS_PROMPT, build_prompt
 
-    found = anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_lines()), 50)
+    found = anomaly.anomalous_excerpt(anomaly.detect_lines(t.log_table()), 50)
     lines = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("excerpt"))
     head, tail = (len(part) for part in ANALYSIS_PROMPT.split("%s"))
     prompt = found.select("source_id", build_prompt(lines).alias("prompt"))

@@ -21,6 +21,7 @@ from logspark.operators.anomaly import WINDOW_SIZE, WINDOW_STRIDE, calibrate_per
 from logspark.operators.feedback import reward_target
 from logspark.operators.training import random_split
 from logspark.operators.windows import max_overlap_score, sliding_windows
+from logspark.session import save_and_read
 
 MIN_ROWS = 10
 CODE_SIZE = 64
@@ -164,7 +165,7 @@ def fit_reward(feedback: DataFrame, features: int = 1 << 12) -> tuple[PipelineMo
     """A model of the reward of a suggestion text, and the scored validation rows (20 %)."""
     rows = feedback.select("feedback_id", "suggestion", reward_target(F.col("suggestion_quality"), F.col("was_helpful")).alias("target"))
     split = random_split(rows, ["feedback_id"])
-    learner = LinearRegression(featuresCol="features", labelCol="target", regParam=0.01, maxIter=30)
+    learner = LinearRegression(featuresCol="features", labelCol="target", regParam=0.01, maxIter=30, solver="l-bfgs")
     model = Pipeline(stages=[*_text_stages("suggestion", features), learner]).fit(split.filter("split = 'train'"))
     return model, predict_reward(split.filter("split = 'val'"), model)
 
@@ -178,7 +179,9 @@ def predict_reward(rows: DataFrame, model: PipelineModel) -> DataFrame:
 
 def train_detector(lines: DataFrame, dim: int = 64, model_id: str = "reconstruction") -> tuple[Reconstruction, DataFrame]:
     """Fit the reconstruction model on lines and return it with its registry row ``kind, ts, threshold, val_loss``."""
-    rows = embed_lines(lines, dim).withColumn("_id", F.xxhash64("source_id", "line_no"))
+    rows = embed_lines(lines, dim).select(F.xxhash64("source_id", "line_no").alias("_id"), "embedding")
+    # Vectors are read for the mean, the directions and the errors.
+    rows = save_and_read(rows, "vectors")
     model = fit_reconstruction(rows, "_id")
     row = lines.sparkSession.range(1).select(
         F.lit(model_id).alias("kind"), F.current_timestamp().alias("ts"),

@@ -28,14 +28,14 @@ def contrastive_pairs(logs: DataFrame, hard: DataFrame | None = None, n: int = N
     heads = first_rows(logs, ["incident_id"], [F.asc("id")], n).drop("rank")
     short = heads.orderBy("id").limit(2 * n)
     pool = short.agg(F.array_sort(F.collect_list(F.struct("id", "incident_id", "text")))).scalar()
-    others = F.filter(pool, lambda x: x["incident_id"] != F.col("incident_id"))
+    anchors = logs.withColumn("_pool", pool)
+    others = F.filter("_pool", lambda x: x["incident_id"] != F.col("incident_id"))
     found = F.transform(others, lambda x: x["text"])
-    anchors = logs
     if hard is not None:
         named = hard.join(logs.select(F.col("id").alias("hard_id"), F.col("text").alias("_t")), "hard_id")
         few = first_rows(named, ["id"], [F.asc("pos")], n, "_r")
         given = few.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "_t"))).alias("_h"))
-        anchors = logs.join(given, "id", "left")
+        anchors = anchors.join(given, "id", "left")
         found = F.concat(F.coalesce(F.col("_h._t"), F.array().cast("array<string>")), found)
     return (
         anchors.select("id", F.col("text").alias("anchor"), F.col("text").alias("positive"), F.slice(found, 1, n).alias("negatives"))

@@ -11,6 +11,7 @@ from logspark.operators.budget import token_budget_plan
 from logspark.operators.ordering import top_share
 from logspark.operators.similarity import density_windows
 from logspark.operators.windows import block_lines
+from logspark.session import save_and_read
 
 # Window size and neighbours of the reduction.
 REDUCE_WINDOW, REDUCE_NEIGHBOURS = 4, 5
@@ -31,7 +32,7 @@ def reduce_sources(lines: DataFrame, shares: DataFrame, dim: int = 64) -> DataFr
     vectors = lines.withColumn("embedding", hash_vector(line_template(F.col("line")), dim))
     scored = density_windows(vectors, REDUCE_WINDOW, 1, REDUCE_NEIGHBOURS, keys=keys)
     # Scores are rounded so that equal windows tie whatever order their terms were added in.
-    rounded = scored.withColumn("score", F.round("score", 9)).join(shares, keys)
+    rounded = save_and_read(scored.withColumn("score", F.round("score", 9)).join(shares, keys), "windows")
     kept = top_share(rounded, keys, F.col("share"), "score", "start")
     return block_lines(lines, kept, REDUCE_WINDOW, keys)
 
@@ -47,7 +48,7 @@ def multi_source_scan(lines: DataFrame, budgets: DataFrame, dim: int = 64) -> Da
     keys = ["run_id", "log_group"]
     plan = token_budget_plan(source_tokens(lines), budgets)
     label = section_label(F.col("log_group"), F.col("needs_reduction"), F.col("share"))
-    plan = plan.withColumn("label", label)
+    plan = save_and_read(plan.withColumn("label", label), "plan")
     small = plan.filter(~F.col("needs_reduction")).select(*keys, "place", "label")
     large = plan.filter("needs_reduction").select(*keys, "place", "label", "share")
     whole = lines.join(small, keys)

@@ -19,6 +19,7 @@ from logspark.functions.rules import (
 from logspark.operators.anomaly import detect_cascade, first_anomalies
 from logspark.operators.explain import rule_flags, signal_labels
 from logspark.operators.ordering import number_rows
+from logspark.session import save_and_read
 
 # Anomalous lines read by the severity rules, by profile, and by the library's cause rules.
 SEVERITY_LINES = {"library": 40, "service": 30}
@@ -101,9 +102,12 @@ def triage(
 ) -> DataFrame:
     """Triage log lines ``source_id, line_no, line``.
 
-    Sources listed in ``sources`` that have no lines are reported as INFO with confidence 0.5.
+    Sources listed in ``sources`` that have no lines are reported as INFO with confidence 0.5. The
+    detection result is written once below the shared folder, as several aggregates read it.
     """
-    found = triage_detected(detect_cascade(lines, registry, scorers, profile), profile, gate, explain)
+    wanted = ["source_id", "line_no", "line", "is_anomaly"]
+    detected = save_and_read(detect_cascade(lines, registry, scorers, profile).select(*wanted), "detected")
+    found = triage_detected(detected, profile, gate, explain)
     if sources is None:
         return found
     none = F.array().cast("array<string>")
