@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logspark.functions.reports import slot_text
 from logspark.functions.rules import matches_pattern
-from logspark.operators.ordering import first_rows
+from logspark.operators.ordering import number_rows
+from logspark.session import save_and_read
 
 # Statistics of a metric query, resource kinds with a status, lines of a log sample.
 STATS = ("Average", "Sum", "Minimum", "Maximum", "SampleCount")
@@ -61,16 +62,21 @@ def run_metric_specs(specs: DataFrame, metrics: DataFrame) -> DataFrame:
 
     ``specs`` holds ``incident_id, query_key, namespace, metric_name, dimensions, stat, period_minutes,
     end_ts``; ``metrics`` holds ``namespace, metric_name, dimensions, ts, value``. A spec reads the
-    datapoints of its last period that carry all of its dimensions. Sides meet on namespace, name and a
-    time slot, so a busy metric is spread over its time slots.
+    datapoints of its last period that carry all of its dimensions. Sides meet on namespace, name, one
+    dimension and a time slot, so a busy metric is spread over its resources and time slots.
     """
     period = F.coalesce("period_minutes", F.lit(60))
     named = specs.withColumns({"_minutes": period, "_stat": F.coalesce("stat", F.lit("Average"))})
     asked = _in_slots(named, F.col("_minutes"))
-    cut = _slots_of(metrics, asked).withColumnRenamed("dimensions", "_have")
-    joined = asked.join(cut, ["namespace", "metric_name", "_len", "_slot"]).filter(
-        F.col("ts").between(F.col("_start"), F.col("end_ts"))
-        & F.forall(F.map_entries("dimensions"), lambda e: F.try_element_at(F.col("_have"), e["key"]) == e["value"])
+    # Sides also meet on one dimension of the spec; a spec without any meets the empty entry.
+    none = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
+    entries = F.array_sort(F.map_entries("dimensions"))
+    asked = asked.withColumn("_dim", F.coalesce(F.get(entries, F.lit(0)), none))
+    own = F.explode(F.concat(F.map_entries("dimensions"), F.array(none)))
+    cut = _slots_of(metrics.withColumn("_dim", own), asked).withColumnRenamed("dimensions", "_have")
+    rest = F.forall(entries, lambda e: F.try_element_at(F.col("_have"), e["key"]) == e["value"])
+    joined = asked.join(cut, ["namespace", "metric_name", "_len", "_slot", "_dim"]).filter(
+        F.col("ts").between(F.col("_start"), F.col("end_ts")) & ((F.size("dimensions") < 2) | rest)
     )
     seconds = period_seconds(F.col("_minutes"))
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / seconds) * seconds)
@@ -85,17 +91,33 @@ def run_log_specs(specs: DataFrame, events: DataFrame, limit: int = SAMPLE_LINES
     ``specs`` holds ``incident_id, query_key, log_group, filter_pattern, lookback_minutes, end_ts``;
     ``events`` holds ``event_id, log_group, ts, message``. The first ``limit`` matches by time are kept
     and counted, as the source query is limited too. Queries without a match are not returned.
+
+    Matches are found once per pattern and numbered by time; a query looks up the number of its first
+    match and joins the next ``limit`` numbers, however many matches its time range holds.
     """
-    named = specs.select(
+    key = ["log_group", "_pattern"]
+    minutes = F.coalesce("lookback_minutes", F.lit(60))
+    asked = specs.select(
         "incident_id", "query_key", "log_group", F.coalesce("filter_pattern", F.lit("")).alias("_pattern"), "end_ts",
-        F.coalesce("lookback_minutes", F.lit(60)).alias("_minutes"),
+        (F.col("end_ts") - F.make_dt_interval(mins=minutes)).alias("_start"),
     )
-    asked = _in_slots(named, F.col("_minutes"))
-    cut = _slots_of(events.select("event_id", "log_group", "ts", "message"), asked)
-    hits = asked.join(cut, ["log_group", "_len", "_slot"]).filter(
-        F.col("ts").between(F.col("_start"), F.col("end_ts")) & matches_pattern(F.col("message"), F.col("_pattern"))
+    hits = events.select("event_id", "log_group", "ts", "message").join(asked.select(*key).distinct(), "log_group")
+    hits = hits.filter(matches_pattern(F.col("message"), F.col("_pattern")))
+    # One timeline per group and pattern: a query's start has a running count of the matches before it.
+    starts = asked.select(*key, F.col("_start").alias("ts"), F.lit(-1).cast("bigint").alias("event_id")).distinct()
+    marks = save_and_read(
+        hits.select(*key, "ts", "event_id", "message", F.lit(1).alias("_hit")).unionByName(
+            starts.withColumns({"message": F.lit(None).cast("string"), "_hit": F.lit(0)})
+        ),
+        "marks",
+    )
+    line = number_rows(marks, key, F.col("ts"), F.col("event_id"), out="_at", value="_hit", running="_before")
+    first = line.filter("_hit = 0").select(*key, F.col("ts").alias("_start"), F.col("_before").alias("_from"))
+    matched = line.filter("_hit = 1").select(*key, "ts", "message", F.col("_before").alias("_seq"))
+    wanted = asked.join(first, [*key, "_start"]).withColumn(
+        "_seq", F.explode(F.sequence(F.col("_from"), F.col("_from") + (limit - 1)))
     )
-    few = first_rows(hits, ["incident_id", "query_key"], [F.asc("ts"), F.asc("event_id")], limit)
+    few = wanted.join(matched.toDF(*matched.columns), [*key, "_seq"]).filter(F.col("ts") <= F.col("end_ts")).withColumnRenamed("_seq", "rank")
     packed = few.groupBy("incident_id", "query_key").agg(F.array_sort(F.collect_list(F.struct("rank", "ts", "message"))).alias("_l"))
     lines = F.transform("_l", lambda x: F.concat(F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), x["message"]))
     return packed.select("incident_id", "query_key", F.size("_l").cast("bigint").alias("event_count"), lines.alias("sample_lines"))
