@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.vectors import distance, hash_vector, line_template, norm
-from logspark.operators.ordering import first_rows
+from logspark.operators.ordering import exact_percentile, first_rows
 
 # Z-score limits by profile, window size and stride, probability limit.
 ZSCORE_LIMIT = {"library": 2.0, "service": 3.0}
@@ -109,11 +109,14 @@ def calibrate_percentile(
 ) -> DataFrame:
     """``threshold``: a percentile of the normal (label 0) scores, ``default`` without any.
 
-    ``exact`` interpolates linearly over all distinct scores; ``exact=False`` uses Spark's bounded sketch.
+    ``exact`` interpolates between the two nearest of all scores; ``exact=False`` uses Spark's bounded sketch.
     """
     value = F.when(F.col(label) == 0, F.col(score)) if label else F.col(score)
-    found = F.percentile(value, share) if exact else F.percentile_approx(value, share, 10_000)
-    return scores.agg(F.coalesce(found, F.lit(default)).alias("threshold"), F.count(value).alias("samples"))
+    if exact:
+        found = exact_percentile(scores, value, share)
+        return found.select(F.coalesce("percentile", F.lit(default)).alias("threshold"), "samples")
+    sketch = F.percentile_approx(value, share, 10_000)
+    return scores.agg(F.coalesce(sketch, F.lit(default)).alias("threshold"), F.count(value).alias("samples"))
 
 
 def calibration_stats(scores: DataFrame, threshold: Column | float, score: str = "score", label: str = "label") -> DataFrame:
@@ -130,12 +133,12 @@ def calibration_stats(scores: DataFrame, threshold: Column | float, score: str =
             F.coalesce(F.max(one), F.lit(0.0)).alias(f"{name}_max"),
         ]
     normal = F.when(F.col(label) == 0, F.col(score))
+    p95 = exact_percentile(scores, normal, 0.95).select("percentile").scalar()
     return at.agg(
         *out,
-        F.coalesce(F.percentile(normal, 0.95), F.lit(0.0)).alias("normal_p95"),
         F.coalesce(F.avg(F.when(F.col(label) == 0, F.col("_hit"))), F.lit(0.0)).alias("false_positive_rate"),
         F.coalesce(F.avg(F.when(F.col(label) == 1, F.col("_hit"))), F.lit(0.0)).alias("true_positive_rate"),
-    )
+    ).withColumn("normal_p95", F.coalesce(p95, F.lit(0.0)))
 
 
 def active_model(registry: DataFrame, order: Sequence[str] = ("sequence", "reconstruction")) -> dict | None:

@@ -127,3 +127,22 @@ def top_share(df: DataFrame, group: Sequence[str], share: Column, score: str, ti
     goal = wanted.groupBy(*group).agg(F.ceil(F.first("_share") * F.count(F.lit(1))).alias("_goal"))
     ranked = number_rows(df, group, -F.col(score), F.col(tie), out="_rank")
     return ranked.join(goal, group).filter(F.col("_rank") < F.col("_goal")).select(*df.columns)
+
+
+def exact_percentile(df: DataFrame, value: Column, share: float) -> DataFrame:
+    """One row ``percentile, samples``: linear interpolation between the two nearest of all sorted values.
+
+    Equal values are counted first and the counts are summed along the sorted values, so no task
+    holds all of them.
+    """
+    counts = df.select(value.cast("double").alias("_x")).filter("_x is not null").groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
+    one = counts.withColumn("_g", F.lit(0))
+    summed = number_rows(one, ["_g"], F.col("_x"), F.col("_x"), out="_at", value="_c", running="_before")
+    total = counts.agg(F.sum("_c")).scalar()
+    place = (F.col("_n") - 1) * share
+    last = F.col("_before") + F.col("_c") - 1
+    near = summed.withColumn("_n", total).withColumns({"_lo": F.floor(place), "_hi": F.ceil(place), "_part": place - F.floor(place)})
+    low = F.max(F.when((F.col("_before") <= F.col("_lo")) & (last >= F.col("_lo")), F.col("_x")))
+    high = F.max(F.when((F.col("_before") <= F.col("_hi")) & (last >= F.col("_hi")), F.col("_x")))
+    found = near.agg(low.alias("_l"), high.alias("_h"), F.max("_part").alias("_p"), F.coalesce(F.max("_n"), F.lit(0)).alias("samples"))
+    return found.select((F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_p")).alias("percentile"), "samples")
