@@ -549,10 +549,19 @@ def early_stopping(t: Tables):
 # ---- models -----------------------------------------------------------------------------------
 
 
-@query("embed_lines")
+ENCODED = """SELECT event_id, d, count(*) AS c FROM (SELECT event_id, unnest(list_transform(regexp_extract_all(lower(substr(line, 1, 1024)), '[a-z_]+'),
+  lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64)) AS d FROM lines) GROUP BY 1, 2"""
+
+
+@query(
+    "embed_lines",
+    oracle("SELECT event_id, round(sum(x * x), 6) AS length, round(sum(x * (d + 1)), 6) AS mark FROM (SELECT event_id, d, c / sqrt(sum(c * c) OVER (PARTITION BY event_id)) AS x FROM e) GROUP BY 1", "lines", e=ENCODED),
+)
 def embed_lines(t: Tables):
     got = models.embed_lines(t.lines())
-    return got.select("event_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    mark = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return got.select("event_id", F.round(length, 6).alias("length"), F.round(mark, 6).alias("mark"))
 
 
 def _labelled(t: Tables):

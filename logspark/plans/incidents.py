@@ -13,6 +13,7 @@ from logspark.operators.lookups import (
     run_metric_specs,
     run_status_specs,
 )
+from logspark.operators.ordering import first_rows
 from logspark.operators.training import training_rows
 from logspark.session import save_and_read
 from logspark.sources.stores import import_incident_export, upsert_incidents
@@ -93,7 +94,9 @@ def answer_context(questions: DataFrame, items: DataFrame, metrics: DataFrame, e
     )
     live = points.select("question_id", F.lit("table").alias("source"), "data")
 
-    everything = items.groupBy("incident_id").agg(
+    # An item takes over 40 characters, so the first 200 fill the part that is kept.
+    few = first_rows(items, ["incident_id"], [F.asc("category"), F.asc("pos"), F.asc("query_key"), F.asc("result")], ANSWER_CHARS // 40)
+    everything = few.groupBy("incident_id").agg(
         F.to_json(F.array_sort(F.collect_list(F.struct("category", "pos", "query_key", "result")))).alias("data")
     )
     rest = asked.filter("category is null").join(everything, "incident_id").select("question_id", F.lit("cache").alias("source"), "data")
