@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -94,7 +96,10 @@ def number_rows(
     if value:
         earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
         ranked = ranked.withColumn("_own", fold(amount).over(earlier))
-    joined = ranked.join(starts, keys)
+    # Null-safe, so that rows without a group key form a group of their own.
+    names = [f"_g{i}" for i in range(len(keys))]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    joined = ranked.join(starts.toDF(*names, "_skip", "_base"), same)
     columns = [*df.columns, (F.col("_skip") + F.col("_pos")).alias(out)]
     if value:
         zero = F.lit(0)

@@ -31,6 +31,12 @@ def test_numbers_with_a_hot_group_and_ties(spark, partitions):
         assert [b for *_, b in mine] == [sum(t for t, _ in want[:k]) for k in range(len(want))]
 
 
+def test_rows_without_a_group_key_are_kept(spark):
+    df = spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "g string, i int")
+    got = ordering.number_rows(df, ["g"], F.col("i"), F.col("i"), out="n").collect()
+    assert sorted((r.g or "", r.i, r.n) for r in got) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
+
+
 def test_top_share_with_equal_scores(spark):
     df = spark.createDataFrame([("a", i, 1.0 if i % 3 else 2.0) for i in range(300)], "source_id string, start int, score double")
     got = ordering.top_share(df, ["source_id"], F.lit(0.5), "score", "start").collect()
