@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +23,36 @@ def get_spark(app: str = "logspark", master: str | None = None, **conf: str) ->
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_logspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="logspark-ship-")) / "logspark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._logspark_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    is a temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session on one machine makes a temporary folder where
+    that is unset; on any other master executors could not read each other's files, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by all executors of {master}")
         folder = tempfile.mkdtemp(prefix="logspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
