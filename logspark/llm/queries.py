@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, mixing, near_dedup, quality_qda, secret_scan
+from logspark.llm import decontaminate, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan
 from logspark.llm.common import documents, table
 
 
@@ -33,6 +33,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_ngram_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled as of high quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return ngram_llr.quality_rules(documents(spark, sf_dir), trusted)
+
+
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -41,6 +51,8 @@ QUERIES = {
         op6_secret_ownership,
         op7_mixing_tree,
         op8_minhash_near_dedup,
+        op9_ngram_likelihood_ratio,
+        op10_license_digests,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_license_digests": licenses.duckdb_sql()}
