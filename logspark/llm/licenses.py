@@ -109,15 +109,15 @@ def duckdb_sql(known=KNOWN) -> str:
         out = f"regexp_replace(translate(coalesce({text}, ''), '{CAPITALS}', '{SMALL}'), '[^a-z0-9\\n]+', ' ', 'g')"
         for word, other in SPELLINGS:
             out = f"regexp_replace({out}, '\\b{word}\\b', '{other}', 'g')"
-        return f"list_transform(string_split({out}, chr(10)), s -> trim(s, ' '))"
+        return f"[trim(s, ' ') for s in string_split({out}, chr(10))]"
 
-    whole = f"array_to_string(list_filter(lines, s -> s <> '' AND NOT regexp_matches(s, '{COPYRIGHT_LINE}')), ' ')"
+    whole = f"array_to_string([s for s in lines if s <> '' AND NOT regexp_matches(s, '{COPYRIGHT_LINE}')], ' ')"
     values = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in known)
     return f"""WITH k0 AS (SELECT * FROM (VALUES {values}) AS v(license, text)),
 k1 AS (SELECT license, {lines("text")} AS lines FROM k0),
 known AS (SELECT md5({whole}) AS digest, min(license) AS license FROM k1 GROUP BY 1),
 d0 AS (SELECT row_number() OVER () AS row, doc_id, {lines("text")} AS lines FROM documents),
-d1 AS (SELECT row, doc_id, md5({whole}) AS text_digest, list_filter(lines, s -> s <> '') AS lines FROM d0),
+d1 AS (SELECT row, doc_id, md5({whole}) AS text_digest, [s for s in lines if s <> ''] AS lines FROM d0),
 l AS (SELECT row, known.license FROM (SELECT row, unnest(lines) AS line FROM d1) JOIN known ON md5(line) = known.digest),
 a AS (SELECT row, array_to_string(list_sort(list_distinct(list(license))), ',') AS line_licenses, count(*) AS n FROM l GROUP BY row)
 SELECT d1.doc_id, d1.text_digest, known.license AS text_license, coalesce(a.line_licenses, '') AS line_licenses, coalesce(a.n, 0) AS n_license_lines

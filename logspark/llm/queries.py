@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan
+from logspark.llm import decontaminate, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
 from logspark.llm.common import documents, table
 
 
@@ -17,6 +17,11 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"), quality_held_out)
 
 
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda doc_id: F.crc32(doc_id.cast("string")) % 3 == 1
+    return toxicity_knn.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"), held_out)
+
+
 def op4_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_quality_discriminant,
+        op3_toxicity_neighbours,
         op4_benchmark_alignment,
         op6_secret_ownership,
         op7_mixing_tree,
