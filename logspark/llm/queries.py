@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import decontaminate, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
+from logspark.llm import backoff_lm, decontaminate, html_wrapper, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
 from logspark.llm.common import documents, table
 
 
@@ -13,6 +13,10 @@ def quality_held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.scores(documents(spark, sf_dir))
+
+
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"), quality_held_out)
 
@@ -26,6 +30,10 @@ def op4_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op5_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.secrets(documents(spark, sf_dir)))
 
@@ -51,9 +59,11 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_backoff_scores,
         op2_quality_discriminant,
         op3_toxicity_neighbours,
         op4_benchmark_alignment,
+        op5_wrapper_extraction,
         op6_secret_ownership,
         op7_mixing_tree,
         op8_minhash_near_dedup,
