@@ -135,9 +135,9 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live-looking credential replaced by ``mark``; all columns stay, ``n_chars`` follows the text."""
-    live = secrets(docs).select(F.col("doc_id").alias("_id"), F.filter("spans", lambda s: s["live"]).alias("_spans"))
-    live = live.where(F.size("_spans") > 0).groupBy("_id").agg(F.first("_spans").alias("_spans"))
-    both = docs.join(live, docs["doc_id"].cast("long").eqNullSafe(live["_id"]), "left")
+    live = secrets(docs).select(F.col("doc_id").alias("__secret_id"), F.filter("spans", lambda s: s["live"]).alias("__secret_spans"))
+    live = live.where(F.size("__secret_spans") > 0).groupBy("__secret_id").agg(F.first("__secret_spans").alias("__secret_spans"))
+    both = docs.join(live, docs["doc_id"].cast("long").eqNullSafe(live["__secret_id"]), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(state, span):
@@ -150,5 +150,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def finish(state):
         return F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, finish))
+    text = F.when(F.col("__secret_spans").isNull(), F.col("text")).otherwise(F.aggregate("__secret_spans", start, step, finish))
     return both.withColumns({"text": text, **({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})}).select(*docs.columns)

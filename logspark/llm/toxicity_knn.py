@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
@@ -159,9 +159,8 @@ def examples(labels: DataFrame, held_out, sizes: tuple[int, int] = EXAMPLES) ->
     """``doc_id, label`` of at most ``sizes`` rows of each class."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    most = F.when(F.col("label") == 0, sizes[0]).otherwise(sizes[1])
-    return known.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    first = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sizes[k]) for k in (0, 1)]
+    return first[0].unionByName(first[1])
 
 
 def select_terms(vectors: DataFrame) -> np.ndarray:
