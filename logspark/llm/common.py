@@ -49,6 +49,11 @@ def map_partitions(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def let(then, **values: F.Column) -> F.Column:
+    """``then`` applied to a struct of ``values``, each computed once."""
+    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in values.items()))), then)[0]
+
+
 def count_words(text) -> F.Column:
     r"""Number of runs without white space (`[^\x20\x09-\x0D]+`); 0 for null."""
     return F.coalesce(F.size(words(text)), F.lit(0))
@@ -59,4 +64,4 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "map_batches", "map_partitions", "save_and_read", "table", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "let", "map_batches", "map_partitions", "save_and_read", "table", "words"]

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logspark.llm.common import count_words, save_and_read
+from logspark.llm.common import count_words, let, save_and_read
 
 WEIGHTS = (1, 2, 3)
 #: Times a source's size that its target may reach.
@@ -100,11 +100,6 @@ def drawn(sized: DataFrame, goals: DataFrame, block_words: int, seed: int) -> Da
     return out.select("row", "doc_id", "source", "size", "block", "pass", "rank", "taken")
 
 
-def let(then, **values: Column) -> Column:
-    """``then`` applied to a struct of ``values``, each computed once."""
-    return F.transform(F.array(F.struct(*(c.alias(k) for k, c in values.items()))), then)[0]
-
-
 def hypergeometric(population: Column, marked: Column, picked: Column, u: Column, v: Column) -> Column:
     """How many of ``picked`` out of ``population`` are ``marked``, from the uniform numbers ``u`` and ``v``."""
     population, marked, picked = (c.cast("double") for c in (population, marked, picked))

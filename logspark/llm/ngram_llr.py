@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import words
+from logspark.llm.common import let, words
 
 BUCKETS = 1 << 16
 #: Pseudo-count of the raw multinomial in the target one.
@@ -27,6 +27,8 @@ PRIOR = 1 << 16
 THRESHOLD = -0.2
 #: n-grams that a document's length is taken to have in addition, so that a few rare ones decide little.
 EXTRA_GRAMS = 20
+#: Trusted documents that the target multinomial is counted from, the least by a hash of the id.
+TRUSTED = 20_000
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -42,47 +44,59 @@ def with_base(docs: DataFrame) -> DataFrame:
     filled = F.filter(F.split("text", "\n"), lambda s: F.length(F.translate(s, " \t\n\x0b\x0c\r", "")) > 0)
     rows = rows.withColumns({"_words": words(F.col("text")), "_lines": filled})
     rows = rows.withColumn("n_words", F.size("_words").cast("long"))
-    windows = F.when(
-        F.col("n_words") >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size("_words") - 3),
-            lambda i: F.struct(F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]).alias("h"), i.alias("at")),
-        ),
+    window = F.transform(
+        F.sequence(F.lit(0), F.size("_words") - 3),
+        lambda i: F.xxhash64(F.col("_words")[i], F.col("_words")[i + 1], F.col("_words")[i + 2]),
     )
-    rows = rows.withColumn("_sorted", F.sort_array(windows)).withColumn("_n", F.size("_sorted"))
-    same = lambda i, j: F.get("_sorted", i)["h"] == F.get("_sorted", j)["h"]
-    again = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-    places = F.sort_array(F.transform(again, lambda i: F.get("_sorted", i)["at"]))
-    rows = rows.withColumn("_at", F.when(F.col("_n") > 0, places).otherwise(F.array().cast("array<int>")))
-    # a word is counted once: each window adds the words that the next repeated window does not begin with
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum"))
-    step = lambda s, x: F.struct(x.alias("last"), (s["sum"] + F.least(F.lit(3), x - s["last"])).alias("sum"))
+    rows = rows.withColumn("_windows", F.when(F.col("n_words") >= 3, window).otherwise(F.array().cast("array<long>")))
+    unique = F.size(F.array_distinct("_windows")) == F.size("_windows")
     rows = rows.withColumns(
         {
             "word_chars": chars(F.col("text"), " \t\n\x0b\x0c\r").cast("long"),
             "n_symbols": (F.length("text") - chars(F.col("text"), SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.aggregate("_at", start, step, lambda s: s["sum"]).cast("long"),
+            "n_repeat_words": F.when(unique, F.lit(0)).otherwise(repeat_words(F.col("_windows"))).cast("long"),
         }
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.select("row", "doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def buckets(text: Column, n: int = BUCKETS) -> Column:
+def repeat_words(windows: Column) -> Column:
+    """How many words lie in windows of three that occur twice or more, from the hashes of all windows in order."""
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum"))
+    # each window adds the words that the window before it did not cover
+    step = lambda s, x: F.struct(x.alias("last"), (s["sum"] + F.least(F.lit(3), x - s["last"])).alias("sum"))
+
+    def covered(x):
+        ordered = x["ordered"]
+        same = lambda w, i: F.coalesce(F.get(ordered, i)["h"] == w["h"], F.lit(False))
+        again = F.filter(ordered, lambda w, i: same(w, i - 1) | same(w, i + 1))
+        return F.aggregate(F.sort_array(F.transform(again, lambda w: w["at"])), start, step, lambda s: s["sum"])
+
+    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    return let(covered, ordered=F.sort_array(pairs))
+
+
+def tokens(text: Column) -> Column:
+    return words(F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\s]+)", " $1 "))
+
+
+def buckets(of_text: Column, n: int = BUCKETS) -> Column:
     """The buckets of all tokens of a text and of all pairs of neighbouring tokens."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\s]+)", " $1 ")
-    tokens = words(spaced)
     of = lambda h: F.pmod(h, F.lit(n)).cast("int")
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.lit(2147483647)), lambda a, b: F.when(b.isNotNull(), of(F.xxhash64(a, b, F.lit(2)))))
-    return F.array_compact(F.concat(F.transform(tokens, lambda a: of(F.xxhash64(a))), pairs))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(of_text) - 2), lambda i: of(F.xxhash64(of_text[i], of_text[i + 1], F.lit(2))))
+    single = F.transform(of_text, lambda a: of(F.xxhash64(a)))
+    return F.when(F.size(of_text) >= 2, F.concat(single, pairs)).otherwise(single)
 
 
 def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """``bucket, weight``: log of the smoothed target share of each bucket over its raw share, one row for each bucket that occurs."""
     ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["_trusted"], "left")
-    grams = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(buckets(F.col("text"), n)).alias("bucket"))
+    ids = ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(TRUSTED)  # its size bounds the broadcast
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids), docs["doc_id"] == ids["_trusted"], "left")
+    marked = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), tokens(F.col("text")).alias("_tokens"))
+    grams = marked.select("t", F.explode(buckets(F.col("_tokens"), n)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     total = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
     share = F.col("raw") / F.col("raw_all")
@@ -94,9 +108,12 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept`` for every row of ``docs``."""
     table = F.broadcast(weights(docs, trusted))
     base = with_base(docs)
-    facts = [c for c in base.columns if c != "text"]
-    grams = base.withColumn("bucket", F.explode_outer(buckets(F.col("text")))).select(*facts, "bucket")
-    scored = grams.join(table, "bucket", "left").groupBy(*facts).agg(F.sum("weight").alias("sum"), F.count("bucket").alias("grams"))
+    facts = [c for c in base.columns if c not in ("row", "text")]
+    grams = base.select("row", *facts, tokens(F.col("text")).alias("_tokens"))
+    grams = grams.withColumn("bucket", F.explode_outer(buckets(F.col("_tokens")))).drop("_tokens")
+    scored = grams.join(table, "bucket", "left").groupBy("row").agg(
+        *(F.first(c).alias(c) for c in facts), F.sum("weight").alias("sum"), F.count("bucket").alias("grams")
+    )
     score = F.coalesce(F.col("sum"), F.lit(0.0)) / (F.col("grams") + EXTRA_GRAMS)
     out = scored.withColumn("score", score)
-    return out.select(*facts[1:], "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+    return out.select(*facts, "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
