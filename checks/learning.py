@@ -549,7 +549,7 @@ def early_stopping(t: Tables):
 # ---- models -----------------------------------------------------------------------------------
 
 
-ENCODED = """SELECT event_id, d, count(*) AS c FROM (SELECT event_id, unnest(list_transform(regexp_extract_all(lower(substr(line, 1, 1024)), '[a-z_]+'),
+ENCODED = """SELECT event_id, d, count(*) AS c FROM (SELECT event_id, unnest(list_transform(regexp_extract_all(lower(substr(line, 1, 1024)), '[\\p{L}_]+'),
   lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64)) AS d FROM lines) GROUP BY 1, 2"""
 
 

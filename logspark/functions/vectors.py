@@ -39,9 +39,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
 
 
-def line_template(line: Column) -> Column:
-    """The lower-case words of the first 1024 characters. Lines with one template have one vector."""
-    return F.array_join(F.regexp_extract_all(F.lower(F.substring(line, 1, 1024)), F.lit("([a-z_]+)"), 1), " ")
+#: Characters of a line that the encoder reads unless told otherwise.
+ENCODED_CHARS = 1024
+
+
+def line_template(line: Column, length: int | None = ENCODED_CHARS) -> Column:
+    """The lower-case words, of any script, of the first ``length`` characters (null: of the whole line).
+
+    Lines with one template have one vector.
+    """
+    read = line if length is None else F.substring(line, 1, length)
+    return F.array_join(F.regexp_extract_all(F.lower(read), F.lit("([\\p{L}_]+)"), 1), " ")
 
 
 def hash_vector(template: Column, dim: int = 64) -> Column:

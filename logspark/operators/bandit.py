@@ -66,7 +66,8 @@ def service_ids(incidents: DataFrame) -> DataFrame:
 
 def bandit_context(incidents: DataFrame) -> DataFrame:
     """Incidents ``incident_id, alarm_type, severity, service, ts`` with their feature vector ``x``."""
-    known = incidents.join(service_ids(incidents), "service")
+    ids = service_ids(incidents).withColumnRenamed("service", "_service")
+    known = incidents.join(ids, incidents["service"].eqNullSafe(ids["_service"])).drop("_service")
     x = context_vector(
         _position(F.col("alarm_type"), ALARM_TYPES), _position(F.col("severity"), SEVERITIES), F.col("service_idx"), F.col("ts")
     )

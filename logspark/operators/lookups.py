@@ -57,6 +57,11 @@ def _slots_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumn("_len", F.explode(lengths)).withColumn("_slot", F.floor(F.unix_seconds("ts") / (F.col("_len") * 60)))
 
 
+def _between(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` from the earliest start to the latest end asked for: older history is not read any further."""
+    return rows.filter((F.col("ts") >= asked.agg(F.min("_start")).scalar()) & (F.col("ts") <= asked.agg(F.max("end_ts")).scalar()))
+
+
 def run_metric_specs(specs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Datapoints of planned metric queries: ``incident_id, query_key, bucket, value``.
 
@@ -70,6 +75,9 @@ def run_metric_specs(specs: DataFrame, metrics: DataFrame) -> DataFrame:
     asked = _in_slots(named, F.col("_minutes"))
     # Sides also meet on one dimension of the spec; a spec without any meets the empty entry.
     none = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
+    given = lambda c: F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    asked = asked.withColumn("dimensions", given(F.col("dimensions")))
+    metrics = _between(metrics, asked).withColumn("dimensions", given(F.col("dimensions")))
     entries = F.array_sort(F.map_entries("dimensions"))
     asked = asked.withColumn("_dim", F.coalesce(F.get(entries, F.lit(0)), none))
     own = F.explode(F.concat(F.map_entries("dimensions"), F.array(none)))
@@ -101,7 +109,8 @@ def run_log_specs(specs: DataFrame, events: DataFrame, limit: int = SAMPLE_LINES
         "incident_id", "query_key", "log_group", F.coalesce("filter_pattern", F.lit("")).alias("_pattern"), "end_ts",
         (F.col("end_ts") - F.make_dt_interval(mins=minutes)).alias("_start"),
     )
-    hits = events.select("event_id", "log_group", "ts", "message").join(asked.select(*key).distinct(), "log_group")
+    events = _between(events.select("event_id", "log_group", "ts", "message"), asked)
+    hits = events.join(asked.select(*key).distinct(), "log_group")
     hits = hits.filter(matches_pattern(F.col("message"), F.col("_pattern")))
     # One timeline per group and pattern: a query's start has a running count of the matches before it.
     starts = asked.select(*key, F.col("_start").alias("ts"), F.lit(-1).cast("bigint").alias("event_id")).distinct()

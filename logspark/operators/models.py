@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.rules import SEVERITIES, keyword_severity
-from logspark.functions.vectors import hash_vector, l2_normalize, line_template
+from logspark.functions.vectors import ENCODED_CHARS, hash_vector, l2_normalize, line_template
 from logspark.operators.anomaly import WINDOW_SIZE, WINDOW_STRIDE, calibrate_percentile
 from logspark.operators.feedback import reward_target
 from logspark.operators.training import random_split
@@ -27,14 +27,16 @@ MIN_ROWS = 10
 CODE_SIZE = 64
 
 
-def embed_lines(lines: DataFrame, dim: int = 64, encoder=None, text: str = "line", out: str = "embedding") -> DataFrame:
-    """Add unit vectors of the first 1024 characters; lines that give no vector get zeros.
+def embed_lines(
+    lines: DataFrame, dim: int = 64, encoder=None, text: str = "line", out: str = "embedding", length: int | None = ENCODED_CHARS
+) -> DataFrame:
+    """Add unit vectors of the first ``length`` characters (null: of whole lines); lines that give no vector get zeros.
 
     ``encoder`` is a vectorised function from text to ``array<float>``; by default words are hashed.
     """
     if encoder is None:
-        return lines.withColumn(out, hash_vector(line_template(F.col(text)), dim))
-    raw = encoder(F.substring(text, 1, 1024))
+        return lines.withColumn(out, hash_vector(line_template(F.col(text), length), dim))
+    raw = encoder(F.col(text) if length is None else F.substring(text, 1, length))
     zero = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda _: F.lit(0.0))
     return lines.withColumn(out, l2_normalize(F.coalesce(raw.cast("array<double>"), zero)))
 

@@ -94,8 +94,8 @@ def answer_context(questions: DataFrame, items: DataFrame, metrics: DataFrame, e
     )
     live = points.select("question_id", F.lit("table").alias("source"), "data")
 
-    # An item takes over 40 characters, so the first 200 fill the part that is kept.
-    few = first_rows(items, ["incident_id"], [F.asc("category"), F.asc("pos"), F.asc("query_key"), F.asc("result")], ANSWER_CHARS // 40)
+    # An item takes three characters at least ("{}" and a comma), so these fill the part that is kept.
+    few = first_rows(items, ["incident_id"], [F.asc("category"), F.asc("pos"), F.asc("query_key"), F.asc("result")], ANSWER_CHARS // 3 + 1)
     everything = few.groupBy("incident_id").agg(
         F.to_json(F.array_sort(F.collect_list(F.struct("category", "pos", "query_key", "result")))).alias("data")
     )

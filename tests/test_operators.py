@@ -194,3 +194,76 @@ def test_files_are_numbered_over_their_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert {r.line_no: r.line for r in got} == {i: f"line {i}" for i in range(5000)}
+
+
+def test_neighbours_break_ties_by_id(spark):
+    from logspark.operators.similarity import knn_join
+
+    rows = [(0, [0.0] * 64)] + [(k, [1.0 if d == k - 1 else 0.0 for d in range(64)]) for k in range(64, 0, -1)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = knn_join(df, 3).where("id = 0").orderBy("rank").collect()
+    assert [r["neighbour"] for r in got] == [1, 2, 3]
+
+
+def test_density_of_computed_vectors(spark):
+    from logspark.operators.similarity import density_scores
+
+    computed = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.sin(F.col("id") * d) / 3 + F.lit(0.1))
+    df = spark.range(40).select((F.col("id") % 3).alias("source_id"), "id", computed.alias("vector"))
+    df = df.unionByName(spark.createDataFrame([(9, 1, [1.0] * 8)], "source_id long, id long, vector array<double>"))
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        lazy = {tuple(r) for r in density_scores(df, 3).select("source_id", "id", F.round("score", 9)).collect()}
+        stored = {tuple(r) for r in density_scores(df.cache(), 3).select("source_id", "id", F.round("score", 9)).collect()}
+        assert lazy == stored and len(lazy) == 41 and (9, 1, 0.0) in lazy
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_metric_specs_without_dimensions(spark):
+    from logspark.operators.lookups import run_metric_specs
+
+    kind = "map<string,string>"
+    metrics = spark.sql(
+        f"SELECT 'n' AS namespace, 'm' AS metric_name, CAST(map() AS {kind}) AS dimensions, timestamp'2024-01-01 10:30:00' AS ts, 1.0D AS value "
+        f"UNION ALL SELECT 'n', 'm', CAST(NULL AS {kind}), timestamp'2024-01-01 10:31:00', 2.0D "
+        "UNION ALL SELECT 'n', 'm', map('a', 'b'), timestamp'2024-01-01 10:32:00', 4.0D UNION ALL SELECT 'n', 'm', map('a', 'b'), timestamp'2020-01-01 10:32:00', 9.0D"
+    )
+    specs = spark.sql(
+        "SELECT 1 AS incident_id, k AS query_key, 'n' AS namespace, 'm' AS metric_name, d AS dimensions, 'Sum' AS stat, 60L AS period_minutes, "
+        f"timestamp'2024-01-01 11:00:00' AS end_ts FROM VALUES ('none', CAST(NULL AS {kind})), ('empty', CAST(map() AS {kind})), ('one', map('a', 'b')) AS v(k, d)"
+    )
+    sums = run_metric_specs(specs, metrics).groupBy("query_key").agg(F.sum("value").alias("v")).collect()
+    assert {r["query_key"]: r["v"] for r in sums} == {"none": 7.0, "empty": 7.0, "one": 4.0}
+
+
+def test_context_keeps_incidents_without_service(spark):
+    from logspark.operators.bandit import bandit_context
+
+    df = spark.createDataFrame([(1, "CPU", "HIGH", None), (2, "CPU", "HIGH", "s")], "incident_id long, alarm_type string, severity string, service string")
+    assert bandit_context(df.withColumn("ts", F.timestamp_seconds(F.lit(0)))).count() == 2
+
+
+def test_other_scripts_are_seen(spark):
+    from logspark.functions.vectors import line_template
+
+    df = spark.createDataFrame([("запрос отклонён", "x" * 1024 + " later")], "a string, b string")
+    row = df.select(line_template(F.col("a")), line_template(F.col("b")), line_template(F.col("b"), None)).first()
+    assert row[0] == "запрос отклонён" and "later" not in row[1] and row[2].endswith(" later")
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    import pytest
+
+    from logspark.session import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
