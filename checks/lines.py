@@ -380,7 +380,7 @@ def merge_blocks(t: Tables):
 
 # Line scores by hashed words, as SQL.
 DIM = 64
-ENCODED = f"""SELECT *, array_to_string(regexp_extract_all(lower(substr(line, 1, 1024)), '[\\p{L}_]+'), ' ') AS t FROM log_lines"""
+ENCODED = f"""SELECT *, array_to_string(regexp_extract_all(lower(substr(line, 1, 1024)), '[\\p{{L}}_]+'), ' ') AS t FROM log_lines"""
 WORDED = "SELECT source_id, t, count(*) AS n FROM enc GROUP BY 1, 2"
 SLOTTED = f"""SELECT source_id, t, n, d, count(*) AS c FROM (
   SELECT source_id, t, n, unnest(list_transform(string_split(t, ' '), lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % {DIM})) AS d FROM worded) GROUP BY 1, 2, 3, 4"""
