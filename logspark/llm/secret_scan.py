@@ -151,4 +151,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
 
     text = F.when(F.col("__secret_spans").isNull(), F.col("text")).otherwise(F.aggregate("__secret_spans", start, step, finish))
-    return both.withColumns({"text": text, **({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})}).select(*docs.columns)
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
