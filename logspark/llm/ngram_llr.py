@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import let, words
+from logspark.llm.common import let, save_and_read, words
 
 BUCKETS = 1 << 16
 #: Pseudo-count of the raw multinomial in the target one.
@@ -97,11 +97,11 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), docs["doc_id"] == ids["_trusted"], "left")
     marked = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), tokens(F.col("text")).alias("_tokens"))
     grams = marked.select("t", F.explode(buckets(F.col("_tokens"), n)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    total = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
-    share = F.col("raw") / F.col("raw_all")
-    ratio = F.log((F.col("target") + prior * share) / (F.col("target_all") + prior)) - F.log(share)
-    return counts.join(F.broadcast(total), F.lit(True)).select("bucket", F.when(F.col("target_all") > 0, ratio).otherwise(0.0).alias("weight"))
+    counts = save_and_read(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "ngram-counts")  # read three times below
+    raw_all, target_all = (counts.agg(F.sum(c)).scalar() for c in ("raw", "target"))
+    share = F.col("raw") / raw_all
+    ratio = F.log((F.col("target") + prior * share) / (target_all + prior)) - F.log(share)
+    return counts.select("bucket", F.when(target_all > 0, ratio).otherwise(0.0).alias("weight"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
