@@ -32,7 +32,7 @@ def stream_subscription(t: Tables):
     return jobs.run_to_table(stream).select("conv_id", "log_group", "message")
 
 
-# The last windows stay open in append mode: only windows that end before the watermark are complete.
+# Windows are kept up to date in update mode, the last ones included; sessions are only written once they have ended.
 
 
 @query(
@@ -40,14 +40,13 @@ def stream_subscription(t: Tables):
     oracle(
         f"""SELECT make_timestamp(epoch_us(ts) // 1800000000 * 1800000000) AS window_start, log_group, count(*) AS line_count FROM (
               SELECT * FROM log_events WHERE epoch_us(ts) // 60000000 % 60 >= 30)
-            GROUP BY 1, 2 HAVING make_timestamp(any_value(epoch_us(ts)) // 1800000000 * 1800000000) + INTERVAL 30 MINUTE <=
-              (SELECT max(ts) - INTERVAL 10 MINUTE FROM log_events WHERE epoch_us(ts) // 60000000 % 60 >= 30)""",
+            GROUP BY 1, 2""",
         "log_events",
     ),
 )
 def stream_sliding_scan(t: Tables):
     scan = jobs.sliding_scan(_log_stream(t), [F.count(F.lit(1)).alias("line_count")])
-    return jobs.run_to_table(scan).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "log_group", "line_count")
+    return jobs.run_latest(scan, ["window_start", "log_group"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "log_group", "line_count")
 
 
 @query(
@@ -55,13 +54,12 @@ def stream_sliding_scan(t: Tables):
     oracle(
         """SELECT * FROM (SELECT make_timestamp(epoch_us(ts) // 21600000000 * 21600000000) AS window_start, log_group, count(*) AS line_count,
              count(*) FILTER (regexp_matches(lower(message), 'error|exception|fatal')) AS error_count,
-             count(*) FILTER (regexp_matches(lower(message), 'error|exception|fatal')) > count(*) * 0.3 AS burst FROM log_events GROUP BY 1, 2)
-           WHERE window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM log_events)""",
+             count(*) FILTER (regexp_matches(lower(message), 'error|exception|fatal')) > count(*) * 0.3 AS burst FROM log_events GROUP BY 1, 2)""",
         "log_events",
     ),
 )
 def stream_error_burst(t: Tables):
-    got = jobs.run_to_table(jobs.error_burst_stream(_log_stream(t), "6 hours"))
+    got = jobs.run_latest(jobs.error_burst_stream(_log_stream(t), "6 hours"), ["window_start", "log_group"])
     return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

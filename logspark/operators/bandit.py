@@ -112,15 +112,19 @@ def linucb_fit(feedback: DataFrame, actions_table: DataFrame, ridge: float = RID
     )
 
 
+#: Actions of a model that is read by the driver: a bound on memory, far above any list of look-ups.
+MAX_ACTIONS = 10_000
+
+
 def score_actions(contexts: DataFrame, model: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Every context with every action: ``incident_id, action_id, estimate, ucb``.
 
-    The model holds one row per action (a fixed list of eight); it is read by the driver, inverted, and
+    The model holds one row per action, at most ``MAX_ACTIONS``; it is read by the driver, inverted, and
     used as constants in a vectorised function, so contexts are neither shuffled nor joined.
     """
-    rows = model.orderBy("action_id").limit(len(ACTIONS) + 1).collect()
-    if len(rows) > len(ACTIONS):
-        raise ValueError("the model holds more rows than there are actions")
+    rows = model.orderBy("action_id").limit(MAX_ACTIONS + 1).collect()
+    if len(rows) > MAX_ACTIONS:
+        raise ValueError(f"the model holds more than {MAX_ACTIONS} actions")
     ids = [row["action_id"] for row in rows]
     inverse = np.array([np.linalg.inv(np.array(row["a"]).reshape(DIM, DIM)) for row in rows])
     theta = np.array([inv @ np.array(row["b"]) for inv, row in zip(inverse, rows)])

@@ -76,14 +76,16 @@ class Reconstruction:
         return flagged.withColumn("score", F.col("score") / F.when(peak > 0, peak).otherwise(1.0))
 
 
-def fit_reconstruction(rows: DataFrame, id_column: str, vector: str = "embedding", size: int = CODE_SIZE) -> Reconstruction:
-    """Fit on 80 % of the rows, measure on the rest, and set the threshold to the 95th percentile of all errors."""
+def fit_reconstruction(rows: DataFrame, id_column: str, vector: str = "embedding", size: int | None = None) -> Reconstruction:
+    """Fit a code of ``size`` numbers (by default up to 64, and a quarter of the vectors' length) on 80 % of the rows, measure on the rest, and set the threshold to the 95th percentile of all errors."""
     _require_rows(rows)
     split = random_split(rows.select(id_column, vector), [id_column])
     train = split.filter("split = 'train'").select(array_to_vector(vector).alias("features"))
     mean = train.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     # A code as wide as the vectors would reproduce every row.
-    width = min(size, max(len(mean) // 4, 1))
+    width = min(CODE_SIZE, max(len(mean) // 4, 1)) if size is None else size
+    if width > len(mean):
+        raise ValueError(f"a code of {width} numbers is longer than the vectors ({len(mean)})")
     directions = PCA(k=width, inputCol="features", outputCol="code").fit(train).pc.toArray()
     model = Reconstruction(mean, directions)
     scored = model.score(split, vector)

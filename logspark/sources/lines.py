@@ -50,7 +50,8 @@ def write_log_table(logs: DataFrame, path: str, ts: str = "ts", mode: str = "app
     Days are spread over many tasks by source, so one busy day is not one task.
     """
     dated = logs.withColumn("log_date", F.to_date(ts))
-    spread = dated.repartition("log_date", F.pmod(F.xxhash64("source_id", ts), F.lit(64)))
+    tasks = int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dated.repartition("log_date", F.pmod(F.xxhash64("source_id", ts), F.lit(max(64, tasks))))
     spread.sortWithinPartitions("log_date", "source_id", ts).write.mode(mode).partitionBy("log_date").parquet(path)
 
 

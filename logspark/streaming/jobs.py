@@ -45,6 +45,27 @@ def run_to_table(stream: DataFrame, path: str | None = None, checkpoint: str | N
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _begin(spark: SparkSession, path: str, schema) -> None:
+    """An empty first batch, so that a stream without input leaves an empty table."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+
+def run_latest(stream: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregate stream in update mode and read the newest row of each ``keys``.
+
+    Windows that are still open at the end of the present input are included, with what they hold so far.
+    """
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, "latest")
+    _begin(spark, path, stream.schema)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    run_batches(stream, store, "update", checkpoint)
+    return latest_by_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
+
+
 def run(writer, checkpoint: str) -> None:
     query: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -126,14 +147,7 @@ def run_bandit(feedback: DataFrame, path: str | None = None) -> DataFrame:
 
     Each batch writes its changed actions to a folder of its own.
     """
-    spark = feedback.sparkSession
-    path = path or scratch_path(spark, "bandit")
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    run_batches(bandit_sums(feedback), store, "update")
-    return latest_by_key(spark.read.parquet(path), ["action_id"], ["batch"]).drop("batch")
+    return run_latest(bandit_sums(feedback), ["action_id"], path)
 
 
 def run_notify(analyses: DataFrame, path: str | None = None) -> DataFrame:
@@ -145,6 +159,7 @@ def run_notify(analyses: DataFrame, path: str | None = None) -> DataFrame:
         wanted = notify_gate(batch, rca_is_healthy(F.col("analysis")))
         notifications(wanted).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    _begin(spark, path, notifications(analyses).schema)
     run_batches(analyses, store)
     return spark.read.parquet(path).drop("batch")
 
@@ -155,6 +170,8 @@ def run_upsert(updates: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, "incidents")
     order = ["ts", "prefetch_status", "cached_data"]
 
+    _begin(spark, path, updates.schema)
+
     def store(batch: DataFrame, batch_id: int) -> None:
         latest_by_key(batch, ["incident_id"], order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

@@ -267,3 +267,24 @@ def test_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_streams_without_input(spark, tmp_path):
+    from logspark.streaming import jobs
+
+    path = str(tmp_path / "in")
+    spark.sql("SELECT 1L AS incident_id, 'open' AS prefetch_status, '[]' AS cached_data, timestamp'2024-01-01' AS ts").limit(0).write.parquet(path)
+    schema = "incident_id long, prefetch_status string, cached_data string, ts timestamp"
+    assert jobs.run_upsert(jobs.read_stream(spark, path, schema, name="none*")).count() == 0
+    feedback = jobs.read_stream(spark, path, "action_id int, x array<double>, reward double", name="none*")
+    assert jobs.run_bandit(feedback).count() == 0
+
+
+def test_twelve_actions(spark):
+    from logspark.operators.bandit import DIM, score_actions
+
+    eye = [1.0 if i == j else 0.0 for i in range(DIM) for j in range(DIM)]
+    model = spark.createDataFrame([(k, eye, [float(k)] * DIM) for k in range(12)], "action_id int, a array<double>, b array<double>")
+    contexts = spark.createDataFrame([(1, [0.5] * DIM)], "incident_id long, x array<double>")
+    scores = {r["action_id"]: r["estimate"] for r in score_actions(contexts, model).collect()}
+    assert len(scores) == 12 and scores[11] == pytest.approx(11 * 0.5 * DIM)
