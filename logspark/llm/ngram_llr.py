@@ -7,7 +7,9 @@ its n-grams of the log ratio of the two, and a document is kept by it if the sco
 Base rules count words (`[^\x20\x09-\x0D]+`), marks, repeated lines and words in repeated three-word windows; a document fails them with
 under 50 words or with over half of its words in repeated windows.
 
-The table of weights has as many rows as there are buckets, which bounds its broadcast. Counts are summed before any shuffle.
+The table of weights has as many rows as there are buckets, which bounds its broadcast. Counts are summed before any shuffle. All trusted documents
+are counted: their ids are broadcast in hash blocks of bounded size, and each block counts the documents of its hashes, so a text is read once per block
+and cut into tokens once.
 
 Defined results: null and empty texts have no words, fail the base and score 0. Without trusted documents all weights are 0. Trusted ids match
 ``doc_id`` once each, null ids never; repeated rows are judged one by one. An empty table gives an empty result.
@@ -27,8 +29,8 @@ PRIOR = 1 << 16
 THRESHOLD = -0.2
 #: n-grams that a document's length is taken to have in addition, so that a few rare ones decide little.
 EXTRA_GRAMS = 20
-#: Trusted documents that the target multinomial is counted from, the least by a hash of the id.
-TRUSTED = 20_000
+#: Trusted ids that meet the documents at once, about; more of them, and the documents with them, are cut by a hash of the id.
+ID_BLOCK = 1 << 20
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -90,14 +92,22 @@ def buckets(of_text: Column, n: int = BUCKETS) -> Column:
     return F.when(F.size(of_text) >= 2, F.concat(single, pairs)).otherwise(single)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float = PRIOR, id_block: int = ID_BLOCK) -> DataFrame:
     """``bucket, weight``: log of the smoothed target share of each bucket over its raw share, one row for each bucket that occurs."""
-    ids = trusted.select(F.col("doc_id").alias("_trusted")).where("_trusted is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(TRUSTED)  # its size bounds the broadcast
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), docs["doc_id"] == ids["_trusted"], "left")
-    marked = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), tokens(F.col("text")).alias("_tokens"))
-    grams = marked.select("t", F.explode(buckets(F.col("_tokens"), n)).alias("bucket"))
-    counts = save_and_read(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "ngram-counts")  # read three times below
+    ids = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_trusted")).where("_trusted is not null").distinct()
+    ids = save_and_read(ids, "ngram-trusted")  # read once per block
+    blocks = -(-ids.count() // id_block) or 1
+    inside = lambda c, block: F.pmod(F.xxhash64(c), F.lit(blocks)) == block if blocks > 1 else F.lit(True)
+    found = None
+    for block in range(blocks):
+        own = ids.where(inside("_trusted", block))  # its size bounds the broadcast
+        rows = docs.select("doc_id", "text").where(inside("doc_id", block))
+        marked = rows.join(F.broadcast(own), rows["doc_id"] == own["_trusted"], "left")
+        marked = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), tokens(F.col("text")).alias("_tokens"))
+        grams = marked.select("t", F.explode(buckets(F.col("_tokens"), n)).alias("bucket"))
+        part = save_and_read(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "ngram-counts")
+        found = part if found is None else found.unionByName(part)
+    counts = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")) if blocks > 1 else found  # read three times below
     raw_all, target_all = (counts.agg(F.sum(c)).scalar() for c in ("raw", "target"))
     share = F.col("raw") / raw_all
     ratio = F.log((F.col("target") + prior * share) / (target_all + prior)) - F.log(share)

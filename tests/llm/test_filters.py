@@ -99,6 +99,15 @@ def test_rules_without_trusted(odd, nothing, labels):
     assert ngram_llr.quality_rules(nothing, labels).count() == 0
 
 
+def test_rules_count_all_trusted(spark):
+    """Where every document is trusted, target and raw shares are equal; blocks of ids add up to the same counts."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 3000).alias("text"))
+    assert all(abs(r["weight"]) < 1e-9 for r in ngram_llr.weights(docs, docs.select("doc_id"), prior=1.0).collect())
+    some = docs.where("doc_id % 3 = 0").select("doc_id")
+    whole, cut = ({r["bucket"]: r["weight"] for r in ngram_llr.weights(docs, some, prior=1.0, **k).collect()} for k in ({}, {"id_block": 900}))
+    assert whole.keys() == cut.keys() and all(abs(w - cut[b]) < 1e-9 for b, w in whole.items()) and max(whole.values()) > 0.5
+
+
 @pytest.mark.parametrize("table", ["documents", "odd"])
 def test_licenses_sql(spark, odd, table):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if table == "documents" else odd
