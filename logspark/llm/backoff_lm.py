@@ -31,7 +31,7 @@ from logspark.llm import textvec
 from logspark.llm.common import map_batches, map_partitions, save_and_read
 from logspark.session import ship
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 UNSEEN = 0.5
 CHUNK_WORDS = 1_000_000

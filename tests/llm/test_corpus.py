@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logspark.llm import backoff_lm, decontaminate, html_wrapper, mixing, near_dedup, textvec
+from logspark.llm import backoff_lm, decontaminate, html_wrapper, mixing, near_dedup, queries, textvec
 from logspark.llm.common import save_and_read
 
 SF = "/root/testdata/sf0.01"
@@ -56,6 +56,15 @@ def test_backoff_brute_force(spark, odd, nothing):
     assert backoff_lm.scores(nothing).count() == 0
 
 
+def test_backoff_query_uses_trigrams(spark, tmp_path):
+    """Where only the word before last tells what follows, trigrams raise the score of the registered query."""
+    texts = ["a x c", "b x d"] * 4 + ["a x d"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in queries.op1_backoff_scores(spark, str(tmp_path)).collect())
+    assert got == sorted(backoff(rows, 3, 0.4)) and got != sorted(backoff(rows, 2, 0.4))
+
+
 def test_packing():
     for v in ([], [0], [5, 1 << 40, 255], list(range(1000))):
         a = np.array(v, np.uint64)
