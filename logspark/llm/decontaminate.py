@@ -6,6 +6,8 @@
 3. Where a document has a seed of an item, the item is aligned with the document's words around the seed's diagonal
    (match 2, other word -1, gap -1). The score over that of a perfect copy is the similarity; edited and paraphrased copies keep
    most of it.
+4. A short passage of a long item has a small similarity, but is no accident either. Where the similarity is too small, a second alignment
+   scores each matched word by the digits of its share of the corpus (and other words and gaps by a loss); enough digits make a leak too.
 
 Test items are taken in blocks of a bounded number of words, so that what each task holds has a fixed size; documents are searched once
 per block. A document's partners are not capped.
@@ -32,8 +34,10 @@ BLOCK_WORDS = 2_000_000
 RARE = 1e-7
 #: The rarest triples of an item are seeds even if they are not that rare.
 LEAST_SEEDS = 8
-#: Least similarity of a contaminated document.
-SIMILARITY = 0.35
+#: Least similarity of a contaminated document without other evidence.
+SIMILARITY = 0.32
+#: Decimal digits by which the matched words of a passage must be rarer than accident; what one word adds at most, and another word or gap takes off.
+EVIDENCE, WORD_DIGITS, OTHER_DIGITS = 24.0, 4.0, 3.0
 MATCH, OTHER, GAP = 2, -1, -1
 
 _gap = np.ones(256, bool)
@@ -57,12 +61,14 @@ class Index:
     first: np.ndarray | None = None
     item: np.ndarray | None = None
     place: np.ndarray | None = None
+    digits: list[np.ndarray] | None = None
 
     def vocabulary(self) -> np.ndarray:
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
 
     def choose(self, share: dict[int, float], rare: float, least: int) -> None:
         found = []
+        self.digits = [np.minimum(-np.log10([share[int(w)] for w in own]), WORD_DIGITS) for own in self.words]
         for k, own in enumerate(self.words):
             size = min(3, len(own))
             if not size:
@@ -101,6 +107,18 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def evidence(item: np.ndarray, digits: np.ndarray, text: np.ndarray) -> float:
+    """Best local alignment of two word sequences if a match scores the digits of its word and another word or a gap loses a fixed number."""
+    steps = np.arange(len(text) + 1) * OTHER_DIGITS
+    row, best = np.zeros(len(text) + 1), 0.0
+    for word, gain in zip(item, digits, strict=True):
+        move = np.maximum(row - OTHER_DIGITS, 0)
+        np.maximum(move[1:], row[:-1] + np.where(text == word, gain, -OTHER_DIGITS), out=move[1:])
+        row = np.maximum.accumulate(move + steps) - steps
+        best = max(best, float(row.max()))
+    return best
+
+
 def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, item_id, similarity, score, begin_word, end_word``: the best alignment of each contaminated document and test item.
 
@@ -198,7 +216,7 @@ def _piece(index: Index, piece: textvec.Piece, similarity: float) -> list[tuple]
         for low, high in spans:
             text = piece.hashes[low:high]
             score, stop = align(words, text)
-            if score >= similarity * MATCH * len(words):
+            if score >= similarity * MATCH * len(words) or evidence(words, index.digits[item], text) >= EVIDENCE:
                 back, length = align(words[::-1], text[:stop][::-1])
                 found.append((piece.first + row, item, score, low + stop - length - begin, low + stop - begin))
     return found

@@ -180,6 +180,18 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.keep_clean(odd, items).count() == odd.count()
 
 
+def test_part_of_a_long_item(spark):
+    """A verbatim third of an item is a leak, edited or not; the same words in another order are not."""
+    items = spark.createDataFrame([(1, " ".join(f"rare{k}" for k in range(60)))], "item_id long, text string")
+    third = [f"rare{k}" for k in range(20, 36)]
+    edited = [w if k % 6 != 5 else "changed" for k, w in enumerate(f"rare{k}" for k in range(20, 38))]
+    rows = [(1, " ".join(["x"] * 30 + third + ["y"] * 30)), (2, " ".join(["x"] * 30 + edited + ["y"] * 30)), (3, " ".join(third[::-1])), (4, "rare1 rare2 rare3 and no more")]
+    rows += [(10 + k, " ".join(f"w{(k * 7 + j * j) % 97}" for j in range(400))) for k in range(40)]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {r["doc_id"] for r in got} == {1, 2} and all(r["similarity"] < 0.3 for r in got)
+    assert [(r["begin_word"], r["end_word"]) for r in got if r["doc_id"] == 1] == [(30, 46)]
+
+
 def test_pages_article(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
