@@ -1,7 +1,6 @@
 """From raw documents to a mixed training corpus: five stages, each on what the one before it kept.
 
-Rows without ``doc_id`` pass the filters that go by id, unless an equal id (null) was itself rejected. Rows repeating a ``doc_id`` share its fate. Empty
-tables give empty results of the same columns.
+Stages judge row by row, also where ``doc_id`` is null or repeats. Empty tables give empty results of the same columns.
 """
 
 from __future__ import annotations

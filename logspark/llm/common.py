@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, stored with a ``__row`` of its own for each row: ids may be null or repeat."""
+    return save_and_read(docs.withColumn("__row", F.monotonically_increasing_id()), f"{name}-rows")
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Run ``fn`` on every Arrow batch; it yields dictionaries of columns."""
 
@@ -64,4 +69,4 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "let", "map_batches", "map_partitions", "save_and_read", "table", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]

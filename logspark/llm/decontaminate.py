@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, map_partitions
+from logspark.llm.common import map_batches, map_partitions, numbered
 
 #: Words of test items searched for in one pass over the documents.
 BLOCK_WORDS = 2_000_000
@@ -224,5 +224,6 @@ def _piece(index: Index, piece: textvec.Piece, similarity: float) -> list[tuple]
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a test item, with all their columns."""
-    leaks = matches(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(leaks["_leak"]), "left_anti")
+    rows = numbered(docs, "clean")
+    leaks = matches(rows.select(F.col("__row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(leaks, "__row", "left_anti").select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, save_and_read
+from logspark.llm.common import map_batches, numbered, save_and_read
 
 #: Characters of the base alphabets that are counted; bytes above 127 count as letters.
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,12 +116,14 @@ class Model:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id, x``: the statistics of every row of ``docs`` (``doc_id``, ``text``)."""
+    """``doc_id, x`` and, where ``docs`` has one, ``__row``: the statistics of every row of ``docs`` (``doc_id``, ``text``)."""
+    key = [c for c in docs.columns if c == "__row"]
 
     def measure(batch: pa.RecordBatch):
-        yield {"doc_id": batch.column(0), "x": list(statistics(batch.column(1)))}
+        yield {"doc_id": batch.column(0), "x": list(statistics(batch.column(1)))} | {c: batch.column(c) for c in key}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, x array<double>", measure)
+    schema = "doc_id long, x array<double>" + "".join(f", {c} long" for c in key)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *key), schema, measure)
 
 
 def sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -189,7 +191,7 @@ def curve(rows: DataFrame, model: Model) -> tuple[float, float]:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD, shrinkage: float = SHRINKAGE) -> DataFrame:
-    """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
+    """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``, and its ``__row`` if it has one.
 
     ``labels`` holds ``doc_id, quality``; rows for which ``held_out`` (a function of the id column) is true are not learned from.
     """
@@ -201,17 +203,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, threshold: floa
 
     def score(batch: pa.RecordBatch):
         x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
-        yield {"doc_id": batch.column(0), "score": model.score(x), "evidence": model.evidence(x)}
+        yield {"doc_id": batch.column(0), "score": model.score(x), "evidence": model.evidence(x)} | {c: batch.column(c) for c in key}
 
-    out = map_batches(rows, "doc_id long, score double, evidence double", score)
+    key = [c for c in rows.columns if c == "__row"]
+    out = map_batches(rows, "doc_id long, score double, evidence double" + "".join(f", {c} long" for c in key), score)
     return out.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence",
+        (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", *key,
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    scored = quality_scores(docs.select(F.col("doc_id"), "text"), labels, held_out)
-    low = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(low, docs["doc_id"].eqNullSafe(low["doc_id"]), "left_anti")
+    rows = numbered(docs, "quality")
+    low = quality_scores(rows.select("doc_id", "text", "__row"), labels, held_out).where("predicted = 0").select("__row")
+    return rows.join(low, "__row", "left_anti").select(*docs.columns)

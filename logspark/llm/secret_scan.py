@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import map_batches, save_and_read
+from logspark.llm.common import map_batches, numbered, save_and_read
 
 KINDS = ("assign", "access", "hex", "token")
 #: Fixed patterns. Key names match in either case.
@@ -134,10 +134,11 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live-looking credential replaced by ``mark``; all columns stay, ``n_chars`` follows the text."""
-    live = secrets(docs).select(F.col("doc_id").alias("__secret_id"), F.filter("spans", lambda s: s["live"]).alias("__secret_spans"))
-    live = live.where(F.size("__secret_spans") > 0).groupBy("__secret_id").agg(F.first("__secret_spans").alias("__secret_spans"))
-    both = docs.join(live, docs["doc_id"].cast("long").eqNullSafe(live["__secret_id"]), "left")
+    """``docs`` with every live-looking credential of each row replaced by ``mark``; all columns stay, ``n_chars`` follows the text."""
+    rows = numbered(docs, "secret")
+    live = secrets(rows.withColumn("doc_id", F.col("__row")))
+    live = live.select(F.col("doc_id").alias("__row"), F.filter("spans", lambda s: s["live"]).alias("__secret_spans"))
+    both = rows.join(live.where(F.size("__secret_spans") > 0), "__row", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(state, span):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from logspark.llm import licenses, ngram_llr, quality_qda, queries, secret_scan, toxicity_knn
+from logspark.llm import decontaminate, licenses, ngram_llr, quality_qda, queries, secret_scan, toxicity_knn
 
 SF = "/root/testdata/sf0.01"
 
@@ -156,5 +156,24 @@ def test_ownership_separates(spark):
     assert kept[1]["text"] == "é [SECRET] end" and kept[1]["n_chars"] == 14 and kept[10]["n_chars"] == 0 and common in kept[10]["text"] and kept[21]["text"] is None
 
 
+def test_rows_with_the_same_id_are_judged_apart(spark, labels, nobody):
+    """Null and repeated ids: secrets go from the rows that hold them, and only rejected rows are dropped."""
+    first, second = "9f8a7b6c5d4e3f2a1b0c", "q8w7e6r5t4y3u2i1o0p9"
+    for key in (7, None):
+        rows = [(key, f"token={first} end", "en", "a", 1), (key, f"a longer text before secret: {second}", "en", "a", 2), (key, "clean words that stay as they are", "en", "a", 3)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = sorted(r["text"] for r in secret_scan.redact(docs).collect())
+        assert got == ["[SECRET] end", "a longer text before [SECRET]", "clean words that stay as they are"]
+        item = spark.createDataFrame([(1, "a longer text before secret")], "item_id long, text string")
+        assert sorted(r["n_chars"] for r in decontaminate.keep_clean(docs, item).collect()) == [1, 3]
+    held_out = queries.quality_held_out
+    docs, known = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality_qda.quality_scores(docs, known, held_out).cache()
+    bad, good = (scored.where(f"predicted = {k}").select("doc_id").first()[0] for k in (0, 1))
+    extra = docs.where(F.col("doc_id").isin(bad, good)).withColumn("doc_id", F.lit(None).cast("long"))
+    kept = quality_qda.keep_good(docs.unionByName(extra), known, held_out)
+    assert kept.where("doc_id is null").count() == 1 and kept.where("doc_id is not null").count() == scored.where("predicted = 1").count()
+
+
 def test_registered_with_guard():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)} and "pipeline" in entry.queries()
