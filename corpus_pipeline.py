@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm import decontaminate, mixing, near_dedup, quality_qda, secret_scan
-from logspark.llm.common import documents, save_and_read, table
+from logspark.llm.common import documents, numbered, save_and_read, table
 from logspark.llm.queries import quality_held_out
 
+#: Word shingles in common of near duplicates, percent; the query op8 has a contract of its own. A pair at 0.8 misses all bands with probability
+#: (1 - 0.8**6)**48, below 1e-6.
+PERCENT, BANDS = 80, 48
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -19,9 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    out = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["_copy"], "left_anti")
+    """One row of each group of near duplicates: the one with the least id (null last). Rows without words are no copies."""
+    rows = numbered(docs, "near")
+    found = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), PERCENT, BANDS).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("order")
+    least = rows.select("__row", order).join(found, "__row").groupBy("component_id").agg(F.min("order").alias("least"))
+    return rows.join(least.select("least.__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

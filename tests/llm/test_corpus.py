@@ -110,6 +110,19 @@ def test_near_duplicates_brute_force(spark, odd, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_near_duplicates(spark):
+    """Copies at Jaccard 0.8 to 0.85 go; null and repeated ids leave one row a group, and texts of their own stay."""
+    base = [f"w{k}" for k in range(200)]
+    near = " ".join("other" if k in (40, 80, 120, 160) else w for k, w in enumerate(base))
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in (" ".join(base), near)]
+    assert 0.8 <= len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.85
+    copies = [" ".join(f"{x}{k}" for k in range(60)) for x in "abc"]
+    rows = [(1, " ".join(base)), (2, near), (5, copies[0]), (5, copies[0]), (None, copies[1]), (None, copies[1]), (6, copies[2]), (2, copies[2] + " end"), (6, "a text of its own"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([rows[0], rows[2], rows[4], rows[7], rows[8], rows[9], rows[10]], key=repr)
+
+
 def test_rest_finds_links_off_the_star(spark):
     """Members of a bucket that are not linked to its least member, but to each other; blocks of a cut bucket meet too."""
     rng = np.random.default_rng(3)
