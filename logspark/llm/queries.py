@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import backoff_lm, decontaminate, html_wrapper, importance, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
+from logspark.llm import backoff_lm, conversation_repair, decontaminate, html_wrapper, importance, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
 from logspark.llm.common import documents, table
 
 
@@ -56,6 +56,10 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,12 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_ngram_likelihood_ratio,
         op10_license_digests,
+        op12_conversation_repair,
         op13_importance_resampling,
     )
 }
-ORACLE: dict[str, str] = {"op10_license_digests": licenses.duckdb_sql(), "op13_importance_resampling": importance.duckdb_sql()}
+ORACLE: dict[str, str] = {
+    "op10_license_digests": licenses.duckdb_sql(),
+    "op12_conversation_repair": conversation_repair.duckdb_sql(),
+    "op13_importance_resampling": importance.duckdb_sql(),
+}
