@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm import backoff_lm, conversation_repair, decontaminate, html_wrapper, importance, licenses, mixing, near_dedup, ngram_llr, quality_qda, secret_scan, toxicity_knn
+from logspark.llm import backoff_lm, conversation_repair, decontaminate, html_wrapper, importance, licenses, mixing, near_dedup, ngram_llr, quality_qda, repeated_text, secret_scan, toxicity_knn
 from logspark.llm.common import documents, table
 
 
@@ -56,6 +56,10 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.repeated_text(documents(spark, sf_dir)).drop("spans")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
 
@@ -77,12 +81,14 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_ngram_likelihood_ratio,
         op10_license_digests,
+        op11_suffix_dedup,
         op12_conversation_repair,
         op13_importance_resampling,
     )
 }
 ORACLE: dict[str, str] = {
     "op10_license_digests": licenses.duckdb_sql(),
+    "op11_suffix_dedup": repeated_text.duckdb_sql(),
     "op12_conversation_repair": conversation_repair.duckdb_sql(),
     "op13_importance_resampling": importance.duckdb_sql(),
 }
