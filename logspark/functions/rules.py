@@ -103,7 +103,8 @@ MAX_RULES = 1000
 def rules_from_table(table: DataFrame) -> tuple[Rule, ...]:
     """Read rules from columns ``rule_id, priority, keyword, label, severity, confidence``.
 
-    Rules become one column expression, so a table of more than ``MAX_RULES`` rows is refused.
+    Rules become one column expression, so a table of more than ``MAX_RULES`` rows is refused; :mod:`logspark.operators.rule_tables`
+    takes tables of any size as they are.
     """
     rows = table.orderBy("priority", "rule_id").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logspark.functions.rules import SIGNALS, Rule, matches
 from logspark.functions.text import words
 from logspark.operators.ordering import first_rows
+from logspark.operators.rule_tables import line_hits, table_signals
 
 # Words without meaning for the rarity score.
 STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "into", "log", "info", "debug", "line")
@@ -22,18 +23,23 @@ DEFAULT_TEXT = "Anomalous embedding distance detected — pattern differs from b
 
 def _breaks(rules: Sequence[Rule]) -> list[tuple[int, list[str]]]:
     """Keywords of two or three words, which may run over line ends: rule index and words."""
-    found = [(i, k.split(" ")) for i, rule in enumerate(rules) for k in rule.keywords if " " in k]
-    if any(len(parts) > 3 for _, parts in found):
-        raise ValueError("keywords may hold at most three words")
-    return found
+    found = [(i, k.split(" ")) for i, rule in enumerate(rules) for k in rule.keywords]
+    return [(i, parts) for i, parts in found if 1 < len(parts) <= 3]
 
 
 def _spanning_hits(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
     """``source_id, rule`` for keywords that run over a line end.
 
-    Only lines that begin or end with a part of such a keyword take part; they meet by line number.
+    Only lines that begin or end with a part of such a keyword take part; they meet by line number. Keywords of more than three words
+    are left to an automaton.
     """
     multi = _breaks(rules)
+    long = [(i, 0, k) for i, rule in enumerate(rules) for k in rule.keywords if k.count(" ") > 2]
+    if long:
+        table = lines.sparkSession.createDataFrame(long, "rule_id long, priority long, keyword string")
+        hits = line_hits(lines, table).select("source_id", F.col("rule_id").cast("int").alias("rule"))
+        rest = _spanning_hits(lines, [Rule(tuple(k for k in r.keywords if k.count(" ") <= 2), r.label) for r in rules])
+        return hits if rest is None else hits.unionByName(rest)
     if not multi:
         return None
     low = F.lower("line")
@@ -91,8 +97,13 @@ def signal_labels(names: Sequence[str], rules: Sequence[Rule] = SIGNALS, limit:
     return F.slice(F.array_distinct(labels), 1, limit)
 
 
-def extract_signals(lines: DataFrame, rules: Sequence[Rule] = SIGNALS, limit: int = 10) -> DataFrame:
-    """``source_id, signals``: labels of the keywords found in a source's joined lines, in rule order."""
+def extract_signals(lines: DataFrame, rules: Sequence[Rule] | DataFrame = SIGNALS, limit: int = 10) -> DataFrame:
+    """``source_id, signals``: labels of the keywords found in a source's joined lines, in rule order.
+
+    ``rules`` may be a table (see :mod:`logspark.operators.rule_tables`) of any size.
+    """
+    if isinstance(rules, DataFrame):
+        return table_signals(lines, rules, limit)
     flags, names = rule_flags(lines, rules)
     return flags.select("source_id", signal_labels(names, rules, limit).alias("signals"))
 
