@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.reports import section_label
+from logspark.functions.reports import rca_is_healthy, section_label, trigger_context
+from logspark.functions.rules import CAUSE_RULES, pick
+from logspark.functions.text import estimate_tokens, format_log_line
 from logspark.functions.vectors import hash_vector, line_template
-from logspark.operators.budget import token_budget_plan
-from logspark.operators.ordering import top_share
+from logspark.operators.budget import available_tokens, token_budget_plan
+from logspark.operators.explain import rule_flags
+from logspark.operators.ordering import number_rows, top_share
 from logspark.operators.similarity import density_windows
-from logspark.operators.windows import block_lines
+from logspark.operators.windows import block_lines, merge_blocks
 from logspark.session import save_and_read
+from logspark.sources.lines import fetch_lookbacks, resolve_log_groups
+from logspark.sources.stores import notifications
+from logspark.sources.triggers import LOOKBACK_MINUTES, decode_subscription, route_trigger_events
 
 # Window size and neighbours of the reduction.
 REDUCE_WINDOW, REDUCE_NEIGHBOURS = 4, 5
@@ -23,18 +32,32 @@ def source_tokens(lines: DataFrame, keys: tuple[str, ...] = ("run_id", "log_grou
     return lines.groupBy(*keys).agg(F.floor(chars / 4).cast("bigint").alias("tokens"))
 
 
+def _kept_windows(lines: DataFrame, shares: DataFrame, dim: int) -> DataFrame:
+    """``run_id, log_group, start, score``: the best share of each source's 4-line windows."""
+    keys = ["run_id", "log_group"]
+    vectors = lines.withColumn("embedding", hash_vector(line_template(F.col("line")), dim))
+    scored = density_windows(vectors, REDUCE_WINDOW, 1, REDUCE_NEIGHBOURS, keys=keys)
+    # Scores are rounded so that equal windows tie whatever order their terms were added in.
+    rounded = save_and_read(scored.withColumn("score", F.round("score", 9)).join(shares, keys), "windows")
+    return top_share(rounded, keys, F.col("share"), "score", "start")
+
+
 def reduce_sources(lines: DataFrame, shares: DataFrame, dim: int = 64) -> DataFrame:
     """The most unusual lines of each source: those in the best share of its 4-line windows.
 
     ``lines`` holds ``run_id, log_group, line_no, line``; ``shares`` holds ``run_id, log_group, share``.
     """
+    return block_lines(lines, _kept_windows(lines, shares, dim), REDUCE_WINDOW, ["run_id", "log_group"])
+
+
+def reduce_to_blocks(lines: DataFrame, shares: DataFrame, dim: int = 64) -> DataFrame:
+    """:func:`reduce_sources` with ``block``: the header of the block of adjacent windows that a line lies in, lines counted from 1."""
     keys = ["run_id", "log_group"]
-    vectors = lines.withColumn("embedding", hash_vector(line_template(F.col("line")), dim))
-    scored = density_windows(vectors, REDUCE_WINDOW, 1, REDUCE_NEIGHBOURS, keys=keys)
-    # Scores are rounded so that equal windows tie whatever order their terms were added in.
-    rounded = save_and_read(scored.withColumn("score", F.round("score", 9)).join(shares, keys), "windows")
-    kept = top_share(rounded, keys, F.col("share"), "score", "start")
-    return block_lines(lines, kept, REDUCE_WINDOW, keys)
+    blocks = merge_blocks(_kept_windows(lines, shares, dim), REDUCE_WINDOW, keys=keys)
+    span = F.concat((F.col("line_start") + 1).cast("string"), F.lit("-"), (F.col("line_end") + 1).cast("string"))
+    header = F.concat(F.lit('<anomalous_block lines="'), span, F.lit('" score="'), F.format_string("%.4f", "score"), F.lit('">'))
+    each = blocks.select(*keys, header.alias("block"), F.explode(F.sequence("line_start", "line_end")).alias("line_no"))
+    return lines.join(each, [*keys, "line_no"])
 
 
 def multi_source_scan(lines: DataFrame, budgets: DataFrame, dim: int = 64) -> DataFrame:
@@ -61,3 +84,83 @@ def multi_source_scan(lines: DataFrame, budgets: DataFrame, dim: int = 64) -> Da
 def notify_gate(analyses: DataFrame, healthy: Column, kind: str = "trigger_type") -> DataFrame:
     """Analyses to report: all but healthy scheduled ones."""
     return analyses.filter(~(healthy & (F.col(kind) == "schedule")))
+
+
+def fetch_sources(
+    events: DataFrame, patterns: DataFrame, logs: DataFrame, lookback: int = LOOKBACK_MINUTES, slot_minutes: int = 30
+) -> DataFrame:
+    """``run_id, log_group, line_no, line`` of every source that a trigger event asks for.
+
+    ``events`` holds ``run_id, ts, event``; each asks for all groups that ``patterns`` resolve to among the groups of ``logs`` (``log_group, ts, seq, message``), up
+    to ``ts``. Messages that come with a pushed event stand for its group's log. Groups without text are left out.
+    """
+    routed = route_trigger_events(events.select("run_id", "ts", "event"), lookback=lookback)
+    wanted = resolve_log_groups(logs.select("log_group"), patterns).agg(F.collect_set("log_group")).scalar()  # names that the configuration asks for
+    minutes = F.coalesce("lookback_minutes", F.lit(lookback))
+    requests = routed.select("run_id", F.col("ts").alias("end_ts"), minutes.alias("lookback_minutes"), F.explode(wanted).alias("log_group"))
+    pushed = save_and_read(decode_subscription(events.select("run_id", "event")), "pushed")
+    own = pushed.groupBy("run_id", "log_group").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("message")).alias("longest"))
+    # An empty text is no text: the group is fetched then.
+    own = own.where("n > 1 or longest > 0").select("run_id", "log_group")
+    own = own.join(requests.select("run_id", "log_group"), ["run_id", "log_group"], "left_semi")
+    asked = requests.join(own, ["run_id", "log_group"], "left_anti")
+    stamped = format_log_line(F.unix_millis("ts"), F.coalesce("message", F.lit("")))
+    fetched = fetch_lookbacks(logs.select("log_group", "ts", "seq", "message"), asked, slot_minutes)
+    rows = fetched.select("run_id", "log_group", "ts", "seq", stamped.alias("text"))
+    given = pushed.join(own, ["run_id", "log_group"], "left_semi")
+    none = F.timestamp_seconds(F.lit(0))
+    rows = rows.unionByName(given.select("run_id", "log_group", none.alias("ts"), F.col("line_no").alias("seq"), F.col("message").alias("text")))
+    parts = rows.select("run_id", "log_group", "ts", "seq", F.posexplode(F.split("text", "\n")).alias("part", "line"))
+    parts = save_and_read(parts, "fetched")
+    numbered = number_rows(parts, ["run_id", "log_group"], F.col("ts"), F.struct("seq", "part"), second_key=F.col("seq"))
+    return save_and_read(numbered.select("run_id", "log_group", "line_no", "line"), "sources")
+
+
+def scan_sections(lines: DataFrame, budgets: DataFrame, dim: int = 64) -> DataFrame:
+    """:func:`multi_source_scan` with ``log_group`` and, for lines of reduced sources, ``block``: the header of the block that each lies in."""
+    keys = ["run_id", "log_group"]
+    plan = token_budget_plan(source_tokens(lines), budgets)
+    label = section_label(F.col("log_group"), F.col("needs_reduction"), F.col("share"))
+    plan = save_and_read(plan.withColumn("label", label), "plan")
+    whole = lines.join(plan.filter(~F.col("needs_reduction")).select(*keys, "place", "label"), keys).withColumn("block", F.lit(None).cast("string"))
+    large = plan.filter("needs_reduction").select(*keys, "place", "label", "share")
+    reduced = reduce_to_blocks(lines.join(large.select(*keys), keys, "left_semi"), large.select(*keys, "share"), dim)
+    columns = ["run_id", "place", "log_group", "label", "block", "line_no", "line"]
+    return whole.select(*columns).unionByName(reduced.join(large.drop("share"), keys).select(*columns))
+
+
+def rule_analysis(sections: DataFrame) -> DataFrame:
+    """``run_id, analysis``: the first service rule that any line of a run matches, as a short report; runs that match none are healthy."""
+    rules = [r for r in CAUSE_RULES["service"] if r.keywords]
+    flags, names = rule_flags(sections.select(F.col("run_id").alias("source_id"), "line_no", "line"), rules, [F.count(F.lit(1)).alias("_lines")])
+    found = F.coalesce(*[F.when(F.col(n), F.lit(i)) for i, n in enumerate(names)])
+    status = F.coalesce(F.initcap(pick(found, [r.severity for r in rules])), F.lit("Healthy"))
+    summary = F.coalesce(pick(found, [r.label for r in rules]), F.lit("No known problem found"))
+    text = F.concat(F.lit("STATUS: "), status, F.lit("\nSUMMARY: "), summary, F.lit("\nLINES: "), F.col("_lines").cast("string"))
+    return flags.select(F.col("source_id").alias("run_id"), text.alias("analysis"))
+
+
+class Scan(NamedTuple):
+    """The labelled lines of every run, its analysis, and the notifications to send."""
+
+    sections: DataFrame
+    analyses: DataFrame
+    notifications: DataFrame
+
+
+def scan_events(
+    events: DataFrame, patterns: DataFrame, logs: DataFrame, window: Column, max_output: Column, system_tokens: Column, lookback: int = LOOKBACK_MINUTES,
+    slot_minutes: int = 30, dim: int = 64, analyse: Callable[[DataFrame], DataFrame] = rule_analysis,
+) -> Scan:
+    """From trigger events to notifications: resolve groups, fetch, fit into the token budget, label, analyse, notify.
+
+    Inputs as in :func:`fetch_sources`; ``window``, ``max_output`` and ``system_tokens`` are columns of ``events`` or constants. ``analyse`` gets the labelled lines and
+    returns ``run_id, analysis``. Runs without any text are not analysed. ``run_id`` is unique.
+    """
+    routed = route_trigger_events(events, lookback=lookback)
+    lines = fetch_sources(events, patterns, logs, lookback, slot_minutes)
+    context = trigger_context(F.col("trigger_type"), F.coalesce("alarm_name", F.lit("")), F.coalesce("alarm_reason", F.lit("")))
+    budgets = routed.select("run_id", available_tokens(window, max_output, system_tokens, estimate_tokens(context)).alias("available"))
+    sections = save_and_read(scan_sections(lines, budgets, dim), "sections")
+    analyses = save_and_read(analyse(sections).join(routed.select("run_id", "ts", "trigger_type", "alarm_name"), "run_id"), "analyses")
+    return Scan(sections, analyses, notifications(notify_gate(analyses, rca_is_healthy(F.col("analysis")))))

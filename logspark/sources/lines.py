@@ -71,10 +71,19 @@ def fetch_lookback(events: DataFrame, group: str, end: Column, lookback_minutes:
     return events.filter((F.col("log_group") == group) & F.col("ts").between(start, end))
 
 
-def fetch_lookbacks(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """:func:`fetch_lookback` for a table of requests ``run_id, log_group, end_ts, lookback_minutes``."""
+def fetch_lookbacks(events: DataFrame, requests: DataFrame, slot_minutes: int = 30) -> DataFrame:
+    """:func:`fetch_lookback` for a table of requests ``run_id, log_group, end_ts, lookback_minutes``; each event once per request that covers it.
+
+    Events and requests meet on the group and a slot of time, so a busy group is spread over its slots, and only the first and last slot of a request
+    hold events outside it.
+    """
+    width = slot_minutes * 60
+    slot = lambda ts: F.floor(F.unix_seconds(ts) / width)
     start = F.col("end_ts") - F.make_dt_interval(mins=F.col("lookback_minutes"))
-    return events.join(requests, "log_group").filter(F.col("ts").between(start, F.col("end_ts")))
+    asked = requests.withColumn("_start", start).where("_start <= end_ts")
+    asked = asked.withColumn("_slot", F.explode(F.sequence(slot(F.col("_start")), slot(F.col("end_ts")))))
+    joined = events.withColumn("_slot", slot(F.col("ts"))).join(asked, ["log_group", "_slot"])
+    return joined.filter(F.col("ts").between(F.col("_start"), F.col("end_ts"))).drop("_slot", "_start")
 
 
 def resolve_log_groups(names: DataFrame, patterns: DataFrame) -> DataFrame:
