@@ -4,12 +4,13 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere
 only text that can repeat is sorted:
 
 1. ``chunks``: documents in chunks of a few megabytes, compressed. Each start of a ``LENGTH``-byte string gets a key, the least hash of the shorter strings
-   (``GRAM`` bytes) inside it, which equal strings share. Neighbouring starts with one key form a run: about one for 70 bytes.
+   (``GRAM`` bytes) inside it, which equal strings share. Neighbouring starts with one key form a run: about one for 50 bytes.
 2. ``shared``: the distinct keys of every chunk, cut by ranges of the key, meet and come back as a code: held by one run, by more, or by very many.
 3. ``contexts``: runs with a shared key send their text (the starts and ``LENGTH`` bytes on) to a bucket of the key, each different text once a chunk. Equal strings
    therefore meet in one bucket.
-4. ``repeats``: a bucket's different texts are joined and their suffixes sorted in two stages: suffixes smaller than their successors are sorted directly, the others
-   are induced by scanning the buckets of first bytes; common prefixes of adjacent suffixes then tell which strings occur twice.
+4. ``repeats``: copies of a text count once. A bucket's different texts are joined and their suffixes sorted in two stages: suffixes smaller than their successors are
+   sorted directly, the others are induced by scanning the buckets of first bytes; common prefixes of adjacent suffixes then tell which strings occur twice.
+   Texts are left out only if each text under their key is known to occur twice as a whole, as then all their strings do.
 5. ``removed``: a chunk's starts that repeat cover the bytes that go; the rest is hashed.
 
 Hot keys: a key of over ``HOT`` runs (a passage that very many documents share, in different surroundings) would make one bucket large. Each start of such runs gets
@@ -38,7 +39,7 @@ from logspark.llm.backoff_lm import cut, pack_sorted, packed, unpack_sorted, unp
 from logspark.llm.common import map_batches, save_and_read
 from logspark.session import ship
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 100
 #: Most starts of a run; a longer one (repetitive text) is cut.
 RUN = 128
 CHUNK_BYTES = 2 << 20
@@ -196,7 +197,7 @@ class Chunk:
         return starts, textvec.mix(rolling(np.frombuffer(self.data, np.uint8), self.length)[starts])
 
     def contexts(self, buckets: int, codes: list[bytes] | None):
-        """Different texts by bucket, each with its runs; and the starts that are known to repeat."""
+        """Different texts by bucket, each with its runs; their keys; and the starts that are known to repeat."""
         own = self.code == 1
         first, n, key = self.first[own], self.n[own], self.key[own]
         known = np.zeros(0, np.int64)
@@ -206,27 +207,32 @@ class Chunk:
             known, more = starts[code == 2], code == 1
             first, n, key = np.concatenate([first, starts[more]]), np.concatenate([n, np.ones(more.sum(), np.int64)]), np.concatenate([key, hashes[more]])
         bucket = textvec.mix(key + np.uint64(1)) % np.uint64(buckets)
-        order = np.lexsort((first, bucket))
+        order = np.lexsort((first, key, bucket))
         found: dict[int, dict[bytes, list[int]]] = {}
-        for b, at, size in zip(bucket[order].tolist(), first[order].tolist(), n[order].tolist(), strict=True):
-            found.setdefault(b, {}).setdefault(self.data[at : at + size + self.length - 1], []).append(at)
-        return found, known
+        keys: dict[int, list[int]] = {}
+        for b, k, at, size in zip(bucket[order].tolist(), key[order].tolist(), first[order].tolist(), n[order].tolist(), strict=True):
+            texts = found.setdefault(b, {})
+            places = texts.setdefault(self.data[at : at + size + self.length - 1], [])
+            if not places:
+                keys.setdefault(b, []).append(k)
+            places.append(at)
+        return found, keys, known
 
 
 def contexts(joined: DataFrame, buckets: int, length: int) -> DataFrame:
-    """``bucket, chunk, n, twice, text``: starts, whether a chunk holds it twice, and bytes of the texts that a chunk sends to a bucket."""
+    """``bucket, chunk, n, key, twice, text``: starts, key, whether a chunk holds it twice, and bytes of the texts that a chunk sends to a bucket."""
 
     def send(batch: pa.RecordBatch):
         for record in records(batch):
-            found, _ = Chunk(record, length).contexts(buckets, record["hot"])
+            found, keys, _ = Chunk(record, length).contexts(buckets, record["hot"])
             yield {
                 "bucket": list(found), "chunk": [record["chunk"]] * len(found),
                 "n": [packed(np.array([len(t) - length + 1 for t in own], np.int64)) for own in found.values()],
-                "twice": [np.packbits([len(at) > 1 for at in own.values()]).tobytes() for own in found.values()],
+                "key": [pack_sorted(np.array(keys[b], np.uint64)) for b in found], "twice": [np.packbits([len(at) > 1 for at in own.values()]).tobytes() for own in found.values()],
                 "text": [squeezed(b"".join(own)) for own in found.values()],
             }
 
-    return map_batches(joined.drop("doc_id", "size"), "bucket long, chunk long, n binary, twice binary, text binary", send)
+    return map_batches(joined.drop("doc_id", "size"), "bucket long, chunk long, n binary, key binary, twice binary, text binary", send)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,21 +289,27 @@ def _direct(places: np.ndarray, eight: np.ndarray, padded: np.ndarray, depth: in
     whole = rolling(padded, depth)
     at = np.arange(len(out))  # where the open suffixes lie
     group = np.cumsum(fresh)
-    for d in range(8, depth, 8):
+    d = 8
+    while d < depth:
         # open: in a group of two or more, not all equal to the end
         begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         size = np.diff(np.append(begin, len(group)))
         same = whole[out[at]]
         differs = np.append(False, (same[1:] != same[:-1]) & (group[1:] == group[:-1]))
-        open_ = np.repeat((np.add.reduceat(differs, begin) > 0) & (size > 1), size) if len(begin) else np.zeros(0, bool)
-        at, group = at[open_], group[open_]
+        open_ = (np.add.reduceat(differs, begin) > 0) & (size > 1) if len(begin) else np.zeros(0, bool)
+        size, every = size[open_], np.repeat(open_, size)
+        at = at[every]
         if not len(at):
             break
+        number = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        # one number: the group, then as many of the next bytes as there is room for
+        wide = (64 - len(size).bit_length()) // 8
         own = out[at]
-        key = eight[own + d]
-        order = np.lexsort((key, group))
+        key = (number << np.uint64(8 * wide)) | (eight[own + d] >> np.uint64(64 - 8 * wide))
+        order = np.argsort(key)
         out[at], key = own[order], key[order]
-        group = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+        group = np.cumsum(np.append(True, key[1:] != key[:-1]))
+        d += wide
     return out
 
 
@@ -338,22 +350,29 @@ def repeats(sent: DataFrame, length: int) -> DataFrame:
 
     def find(table: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        twice, parts = [], []
-        for n, flags, blob in zip(*(table.column(c).to_pylist() for c in ("n", "twice", "text")), strict=True):
+        twice, keys, parts = [], [], []
+        for n, key, flags, blob in zip(*(table.column(c).to_pylist() for c in ("n", "key", "twice", "text")), strict=True):
             data, at, own = released(blob), 0, []
-            for k, size in enumerate(unpacked(n).tolist()):
+            sizes, again = unpacked(n).tolist(), np.unpackbits(np.frombuffer(flags, np.uint8)).tolist()
+            for k, size, more in zip(unpack_sorted(key).tolist(), sizes, again, strict=False):
                 text = data[at : at + size + length - 1]
                 at += len(text)
                 i = number.setdefault(text, len(number))
                 if i == len(twice):
-                    twice.append(bool(flags[k >> 3] >> (7 - (k & 7)) & 1))
+                    twice.append(bool(more))
+                    keys.append(k)
                 else:
                     twice[i] = True
                 own.append(i)
             parts.append(own)
-        texts = list(number)
-        found = repeated_starts(texts, np.array(twice), length)
-        edges = np.cumsum([0] + [len(t) - length + 1 for t in texts])
+        texts, whole = list(number), np.array(twice)
+        _, kind = np.unique(np.array(keys, np.uint64), return_inverse=True)
+        unsure = (np.bincount(kind, weights=~whole) > 0)[kind]  # under a key with a text that is seen once
+        size = np.array([len(t) - length + 1 for t in texts])
+        found = np.ones(size.sum(), bool)
+        if unsure.any():
+            found[np.repeat(unsure, size)] = repeated_starts([t for t, u in zip(texts, unsure.tolist(), strict=True) if u], whole[unsure], length)
+        edges = np.append(0, np.cumsum(size))
         bits = [squeezed(np.packbits(np.concatenate([found[edges[i] : edges[i + 1]] for i in own])).tobytes()) for own in parts]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
@@ -369,7 +388,7 @@ def removed(joined: DataFrame, buckets: int, length: int) -> DataFrame:
     def drop(batch: pa.RecordBatch):
         for record in records(batch):
             chunk = Chunk(record, length)
-            found, known = chunk.contexts(buckets, record["hot"])
+            found, _, known = chunk.contexts(buckets, record["hot"])
             step = np.zeros(len(chunk.data) + 1, np.int64)
             marks = [known]
             for b, blob in zip(sorted(found), record["starts"] or [], strict=True):
