@@ -9,17 +9,18 @@ from checks.lines import SCORES, VECTORS, _vectors
 from logspark.functions import reports
 from logspark.functions.text import estimate_tokens
 from logspark.operators import anomaly, bandit, budget, feedback, forecast, models, similarity, training, windows
+from logspark.operators.vector_store import VectorStore
 from logspark.plans import scan
-from logspark.session import save_and_read
+from logspark.session import save_and_read, scratch_path
 
 # ---- similarity -------------------------------------------------------------------------------
 
-FIRSTS = "SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)"
+# The query set of searches: every row whose id is divisible by 20, against all rows.
+ASKED = "SELECT * FROM embeddings WHERE vec_id % 20 = 0"
 
 
 def _queries(t: Tables):
-    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"), F.min("vec_id").alias("query_id"))
-    return first.select("query_id", "vector")
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _corpus(t: Tables):
@@ -32,26 +33,24 @@ PAIRS = f"""SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, list_cosine_simi
   list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS dot FROM f q, embeddings c"""
 
 
-@query("pairwise_similarity", oracle("SELECT query_id, corpus_id, round(cosine, 5) + 0 AS cosine, round(euclidean, 5) + 0 AS euclidean FROM p", f=FIRSTS, p=PAIRS))
+@query("pairwise_similarity", oracle("SELECT query_id, corpus_id, round(cosine, 5) + 0 AS cosine, round(euclidean, 5) + 0 AS euclidean FROM p", f=ASKED, p=PAIRS))
 def pairwise_similarity(t: Tables):
-    pair = ["query_id", "corpus_id"]
-    a = similarity.similarity_matrix(_queries(t), _corpus(t), "cosine").withColumnRenamed("similarity", "cosine")
-    b = similarity.similarity_matrix(_queries(t), _corpus(t), "euclidean").withColumnRenamed("similarity", "euclidean")
-    return a.join(b, pair).select(*pair, (F.round("cosine", 5) + 0).alias("cosine"), (F.round("euclidean", 5) + 0).alias("euclidean"))
+    got = similarity.similarity_matrices(_queries(t), _corpus(t), ["cosine", "euclidean"])
+    return got.select("query_id", "corpus_id", (F.round("cosine", 5) + 0).alias("cosine"), (F.round("euclidean", 5) + 0).alias("euclidean"))
 
 
 def _top_sql(metric, k):
     return f"SELECT query_id, corpus_id, round({metric}, 5) AS similarity, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {metric} DESC, corpus_id) AS place FROM p) WHERE place <= {k}"
 
 
-@query("top_k_similar", oracle(_top_sql("cosine", 5), f=FIRSTS, p=PAIRS))
+@query("top_k_similar", oracle(_top_sql("cosine", 5), f=ASKED, p=PAIRS))
 def top_k_similar(t: Tables):
     return similarity.top_k_similar(_queries(t), _corpus(t), 5).withColumn("similarity", F.round("similarity", 5))
 
 
 @query(
     "similar_log_search",
-    oracle("SELECT query_id, corpus_id, similarity, rank, 'vector ' || corpus_id AS line, CAST(label AS VARCHAR) AS label FROM s JOIN embeddings ON vec_id = corpus_id", f=FIRSTS, p=PAIRS, s=_top_sql("dot", 10)),
+    oracle("SELECT query_id, corpus_id, similarity, rank, 'vector ' || corpus_id AS line, CAST(label AS VARCHAR) AS label FROM s JOIN embeddings ON vec_id = corpus_id", f=ASKED, p=PAIRS, s=_top_sql("dot", 10)),
 )
 def similar_log_search(t: Tables):
     store = t.embeddings.select(
@@ -62,6 +61,17 @@ def similar_log_search(t: Tables):
     return got.select("query_id", "corpus_id", F.round("similarity", 5).alias("similarity"), "rank", "line", F.try_element_at("metadata", F.lit("label")).alias("label"))
 
 
+@query("vector_store_search", oracle("SELECT query_id, corpus_id, similarity, rank, label FROM s JOIN embeddings ON vec_id = corpus_id", f=ASKED, p=PAIRS, s=_top_sql("dot", 10)))
+def vector_store_search(t: Tables):
+    """A store filled in three deltas."""
+    rows = t.embeddings.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("vector"), "label")
+    store = VectorStore.create(t.spark, scratch_path(t.spark, "store"), rows)
+    for part in range(3):
+        store.append(rows.where(F.pmod("label", F.lit(3)) == part))
+    got = store.search(_queries(t), 10, columns=("label",))
+    return got.withColumn("similarity", F.round("similarity", 5)).drop("cells")
+
+
 @query(
     "knn_join",
     """SELECT id, neighbour, round(d, 5) AS dist, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS place FROM (

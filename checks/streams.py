@@ -9,7 +9,8 @@ from checks.learning import REWARDS
 from checks.stores import UPDATES, pushed_events
 from logspark.operators import bandit
 from logspark.session import scratch_path
-from logspark.streaming import jobs
+from logspark.sources.stores import live_rows
+from logspark.streaming import jobs, state
 
 
 def _stream(t: Tables, name: str):
@@ -144,3 +145,39 @@ def _columns(text: str) -> list[str]:
 def stream_upsert(t: Tables):
     text = UPDATES.replace("SELECT ", "", 1).rsplit("FROM lineitem", 1)[0]
     return jobs.run_upsert(_stream(t, "lineitem").selectExpr(*_columns(text))).select("incident_id", "prefetch_status", "cached_data")
+
+
+@query(
+    "stream_open_sessions",
+    oracle(
+        """SELECT conv_id, min(ts) AS session_start, max(ts) + INTERVAL 300 SECOND AS session_end, count(*) AS turns FROM (
+             SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY ts) AS s FROM (
+               SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY conv_id ORDER BY ts) + INTERVAL 300 SECOND THEN 1 ELSE 0 END AS opens FROM tu))
+           GROUP BY conv_id, s""",
+        tu=TURNS,
+    ),
+)
+def stream_open_sessions(t: Tables):
+    late = F.when(F.col("turn") >= 2, 600).otherwise(0)
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60 + late)
+    got = state.run_sessions(_stream(t, "conversations").select("conv_id", at.alias("ts")))
+    return got.select("conv_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "turns")
+
+
+# A record lives for 200 days: most customers' orders expire and come back.
+LIFE_DAYS = 200
+
+
+@query(
+    "stream_ttl_expiry",
+    f"""WITH RECURSIVE e AS (
+          SELECT o_custkey AS id, min(o_orderdate) AS ts FROM orders GROUP BY 1
+          UNION ALL SELECT id, nts FROM (SELECT e.id, min(o.o_orderdate) AS nts FROM e JOIN orders o ON o.o_custkey = e.id AND o.o_orderdate >= e.ts + INTERVAL {LIFE_DAYS} DAY GROUP BY e.id, e.ts))
+        SELECT id, ts, ts + INTERVAL {LIFE_DAYS} DAY > (SELECT max(o_orderdate) FROM orders) AS lives FROM e""",
+)
+def stream_ttl_expiry(t: Tables):
+    records = _stream(t, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    got = state.run_sightings(records, LIFE_DAYS * 86_400)
+    live = live_rows(got, t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).scalar()).select("id", "ts", F.lit(True).alias("lives"))
+    both = got.select("id", "ts").join(live, ["id", "ts"], "left")
+    return both.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.coalesce("lives", F.lit(False)).alias("lives"))
