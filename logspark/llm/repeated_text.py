@@ -45,7 +45,9 @@ RUN = 128
 CHUNK_BYTES = 2 << 20
 RANGE_KEYS = 1 << 22
 BUCKET_BYTES = 3 << 20
-HOT = 1 << 14
+HOT = 1 << 12
+#: Bytes of texts, about, whose suffixes are sorted together; texts of one key stay together.
+SORTED_BYTES = 1 << 20
 KEY_BITS = 48
 
 
@@ -282,8 +284,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _direct(places: np.ndarray, eight: np.ndarray, padded: np.ndarray, depth: int) -> np.ndarray:
     """``places`` in order of their first ``depth`` bytes, eight at a time among those that are still equal; strings equal all through stay as they are."""
-    order = np.argsort(eight[places], kind="stable")
-    out = places[order]
+    out = places[np.argsort(eight[places], kind="stable")]
     key = eight[out]
     fresh = np.append(True, key[1:] != key[:-1])
     whole = rolling(padded, depth)
@@ -370,9 +371,17 @@ def repeats(sent: DataFrame, length: int) -> DataFrame:
         unsure = (np.bincount(kind, weights=~whole) > 0)[kind]  # under a key with a text that is seen once
         size = np.array([len(t) - length + 1 for t in texts])
         found = np.ones(size.sum(), bool)
-        if unsure.any():
-            found[np.repeat(unsure, size)] = repeated_starts([t for t, u in zip(texts, unsure.tolist(), strict=True) if u], whole[unsure], length)
         edges = np.append(0, np.cumsum(size))
+        order = np.argsort(kind, kind="stable")
+        order = order[unsure[order]]
+        begin = np.flatnonzero(np.append(True, kind[order][1:] != kind[order][:-1])) if len(order) else order
+        passed = np.cumsum(size[order] + length)[begin] // SORTED_BYTES if len(order) else order
+        cuts = begin[np.flatnonzero(np.append(True, passed[1:] != passed[:-1]))] if len(order) else order
+        for part in np.split(order, cuts[1:]):
+            if len(part):
+                marks = repeated_starts([texts[i] for i in part], whole[part], length)
+                for i, own in zip(part.tolist(), np.split(marks, np.cumsum(size[part])[:-1]), strict=True):
+                    found[edges[i] : edges[i + 1]] = own
         bits = [squeezed(np.packbits(np.concatenate([found[edges[i] : edges[i + 1]] for i in own])).tobytes()) for own in parts]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 

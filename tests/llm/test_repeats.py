@@ -39,7 +39,8 @@ def made_up(seed):
     return [(k, t) for k, t in enumerate(texts + texts[:5] + ["", None, "x" * 24, "y" * 24, "y" * 23])]
 
 
-def test_brute_force(spark):
+def test_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(rt, "SORTED_BYTES", 300)
     for seed in range(2):
         df = spark.createDataFrame(made_up(seed), "doc_id long, text string").repartition(3)
         check(df, **SMALL)
