@@ -13,9 +13,9 @@ only text that can repeat is sorted:
    Texts are left out only if each text under their key is known to occur twice as a whole, as then all their strings do.
 5. ``removed``: a chunk's starts that repeat cover the bytes that go; the rest is hashed.
 
-Hot keys: a key of over ``HOT`` runs (a passage that very many documents share, in different surroundings) would make one bucket large. Each start of such runs gets
-the hash of its own string as key, the hashes meet as in step 2, and only strings whose hash another start has too are sent on. A hash in over ``HOT`` chunks
-counts as repeated at once (64 bits, so chance equality is below one start in all of 100 TB). No run, bucket or document is capped.
+Hot keys: a key of over ``HOT`` runs (a passage that very many documents share, in different surroundings) would make one bucket large. Starts of such runs
+send a hash of 128 bits of their own string instead, to ranges of the hash, and those whose hash another start has repeat: chance equality is out of
+question at any size of corpus. No run, bucket or document is capped.
 
 Step 2 sends a few bytes a run and step 3 repeated text only. Chunks meet their codes by a join on the chunk, which Spark turns into a broadcast only
 while its own size check allows. What a task holds is a chunk, a range of keys or a bucket, all of bounded size but for a single text longer than a chunk.
@@ -49,6 +49,8 @@ HOT = 1 << 12
 #: Bytes of texts, about, whose suffixes are sorted together; texts of one key stay together.
 SORTED_BYTES = 1 << 20
 KEY_BITS = 48
+#: Other values for the bytes of a text, for the second half of a hash.
+SCRAMBLED = (textvec.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(1)) | np.uint64(1)
 
 
 def squeezed(data: bytes) -> bytes:
@@ -127,11 +129,10 @@ def chunks(docs: DataFrame, length: int, gram: int, chunk_bytes: int) -> DataFra
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id array<long>, size array<long>, text binary, first binary, n binary, key binary, twin binary", cut_up)
 
 
-def shared(keys: DataFrame, bits: int, low: int, hot: int, each: int = 255) -> DataFrame:
-    """``chunk, code, more, most`` from ``chunk, key, twin`` (packed): for a chunk's sorted distinct keys in turn 0 (one holder in the corpus), 1 (more) or 2 (over ``hot``).
+def shared(keys: DataFrame, bits: int, hot: int) -> DataFrame:
+    """``chunk, code, more, hottest`` from ``chunk, key, twin`` (packed): for a chunk's sorted distinct keys in turn 0 (one holder in the corpus), 1 (more) or 2 (over ``hot``).
 
-    Keys have ``low`` bits; the first ``bits`` of them make the ranges that meet. A chunk counts up to ``each`` of its own holders. ``more`` and ``most`` count
-    codes 1 and 2.
+    The first ``bits`` of the keys make the ranges that meet. ``more`` counts keys of code 1, ``hottest`` runs of code 2.
     """
 
     def send(batch: pa.RecordBatch):
@@ -139,11 +140,11 @@ def shared(keys: DataFrame, bits: int, low: int, hot: int, each: int = 255) -> D
             own = unpacked(blob)
             distinct, number = np.unique(own, return_inverse=True)
             n = np.bincount(number, weights=1 + np.unpackbits(np.frombuffer(released(twin), np.uint8))[: len(own)], minlength=len(distinct)).astype(np.int64)
-            at = cut(distinct << np.uint64(64 - low), bits)
+            at = cut(distinct << np.uint64(64 - KEY_BITS), bits)
             some = np.flatnonzero(np.diff(at)).tolist()
             yield {
                 "range": some, "chunk": [chunk] * len(some), "keys": [pack_sorted(distinct[at[s] : at[s + 1]]) for s in some],
-                "n": [packed(np.minimum(n[at[s] : at[s + 1]], each)) for s in some],
+                "n": [packed(n[at[s] : at[s + 1]]) for s in some],
             }
 
     def meet(table: pa.Table) -> pa.Table:
@@ -153,14 +154,16 @@ def shared(keys: DataFrame, bits: int, low: int, hot: int, each: int = 255) -> D
         total = np.bincount(number, weights=n)[number]
         codes = np.split((total > 1).astype(np.uint8) + (total > hot), np.cumsum([len(k) for k in keys])[:-1])
         columns = {"chunk": table.column("chunk"), "range": table.column("range"), "code": pa.array([squeezed(c.astype(np.uint8).tobytes()) for c in codes], pa.binary())}
-        return pa.table(columns | {name: pa.array([int((c == k).sum()) for c in codes], pa.int64()) for k, name in ((1, "more"), (2, "most"))})
+        runs_ = np.split(n, np.cumsum([len(k) for k in keys])[:-1])
+        columns |= {"more": pa.array([int((c == 1).sum()) for c in codes], pa.int64())}
+        return pa.table(columns | {"hottest": pa.array([int(r[c == 2].sum()) for c, r in zip(codes, runs_, strict=True)], pa.int64())})
 
     ship(keys.sparkSession)
     met = map_batches(keys.select("chunk", "key", "twin"), "range long, chunk long, keys binary, n binary", send)
-    met = met.groupBy("range").applyInArrow(meet, "chunk long, range long, code binary, more long, most long")
+    met = met.groupBy("range").applyInArrow(meet, "chunk long, range long, code binary, more long, hottest long")
     # a chunk's own ranges: as many bytes as it has keys
-    found = met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "code"))).alias("c"), F.sum("more").alias("more"), F.sum("most").alias("most"))
-    return save_and_read(found.select("chunk", F.col("c.code").alias("code"), "more", "most"), "repeats-codes")
+    found = met.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("range", "code"))).alias("c"), F.sum("more").alias("more"), F.sum("hottest").alias("hottest"))
+    return save_and_read(found.select("chunk", F.col("c.code").alias("code"), "more", "hottest"), "repeats-codes")
 
 
 def records(batch: pa.RecordBatch):
@@ -189,25 +192,23 @@ class Chunk:
             return np.zeros(len(keys), np.uint8)
         return np.frombuffer(b"".join(map(released, codes)), np.uint8)[np.unique(keys, return_inverse=True)[1]]
 
-    def hot(self) -> tuple[np.ndarray, np.ndarray]:
-        """The starts of hot runs, and the hashes of their strings."""
+    def hot(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The starts of hot runs by range of their hash, with the range and both halves of the hash of each."""
         own = self.code == 2
         n = self.n[own]
         starts = np.repeat(self.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if not len(starts):
-            return starts, np.zeros(0, np.uint64)
-        return starts, textvec.mix(rolling(np.frombuffer(self.data, np.uint8), self.length)[starts])
-
-    def contexts(self, buckets: int, codes: list[bytes] | None):
-        """Different texts by bucket, each with its runs; their keys; and the starts that are known to repeat."""
+        halves = np.zeros((2, 0), np.uint64)
+        if len(starts):
+            data = np.frombuffer(self.data, np.uint8)
+            halves = np.stack([textvec.mix(rolling(d, self.length)[starts]) for d in (data, SCRAMBLED[data])])
+        part = (halves[0] % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return starts[order], part[order], halves[:, order]
+
+    def contexts(self, buckets: int) -> tuple[dict[int, dict[bytes, list[int]]], dict[int, list[int]]]:
+        """Different texts by bucket, each with its runs; and their keys."""
         own = self.code == 1
         first, n, key = self.first[own], self.n[own], self.key[own]
-        known = np.zeros(0, np.int64)
-        if codes:
-            starts, hashes = self.hot()
-            code = self._codes(hashes, codes)
-            known, more = starts[code == 2], code == 1
-            first, n, key = np.concatenate([first, starts[more]]), np.concatenate([n, np.ones(more.sum(), np.int64)]), np.concatenate([key, hashes[more]])
         bucket = textvec.mix(key + np.uint64(1)) % np.uint64(buckets)
         order = np.lexsort((first, key, bucket))
         found: dict[int, dict[bytes, list[int]]] = {}
@@ -218,15 +219,23 @@ class Chunk:
             if not places:
                 keys.setdefault(b, []).append(k)
             places.append(at)
-        return found, keys, known
+        return found, keys
+
 
+def contexts(joined: DataFrame, buckets: int, ranges: int, length: int) -> DataFrame:
+    """``bucket, chunk, n, key, twice, text``: starts, key, whether a chunk holds it twice, and bytes of the texts that a chunk sends to a bucket.
 
-def contexts(joined: DataFrame, buckets: int, length: int) -> DataFrame:
-    """``bucket, chunk, n, key, twice, text``: starts, key, whether a chunk holds it twice, and bytes of the texts that a chunk sends to a bucket."""
+    Buckets from ``buckets`` on are the ranges of hot starts: ``key`` and ``text`` are the halves of their hashes.
+    """
 
     def send(batch: pa.RecordBatch):
         for record in records(batch):
-            found, keys, _ = Chunk(record, length).contexts(buckets, record["hot"])
+            chunk = Chunk(record, length)
+            _, part, halves = chunk.hot(ranges)
+            for p in np.unique(part).tolist():
+                a, b = (half[part == p].tobytes() for half in halves)
+                yield {"bucket": [buckets + p], "chunk": [record["chunk"]], "n": [b""], "key": [a], "twice": [b""], "text": [b]}
+            found, keys = chunk.contexts(buckets)
             yield {
                 "bucket": list(found), "chunk": [record["chunk"]] * len(found),
                 "n": [packed(np.array([len(t) - length + 1 for t in own], np.int64)) for own in found.values()],
@@ -346,10 +355,25 @@ def repeated_starts(texts: list[bytes], twice: np.ndarray, length: int) -> np.nd
     return again[places] | np.repeat(twice, n)
 
 
-def repeats(sent: DataFrame, length: int) -> DataFrame:
+def repeated_hashes(table: pa.Table) -> list[np.ndarray]:
+    """For each record of a range of hot starts, whether each start's hash occurs twice or more in the range."""
+    a, b = ([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in ("key", "text"))
+    pairs = np.stack([np.concatenate(a), np.concatenate(b)])
+    order = np.lexsort(pairs)
+    fresh = np.append(True, (pairs[:, order][:, 1:] != pairs[:, order][:, :-1]).any(0))
+    number = np.cumsum(fresh) - 1
+    again = np.empty(len(order), bool)
+    again[order] = (np.bincount(number) > 1)[number]
+    return np.split(again, np.cumsum([len(x) for x in a])[:-1])
+
+
+def repeats(sent: DataFrame, buckets: int, length: int) -> DataFrame:
     """``chunk, starts``: for each chunk, one bit for every start that it sent (buckets in order)."""
 
     def find(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:
+            bits = [squeezed(np.packbits(x).tobytes()) for x in repeated_hashes(table)]
+            return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
         number: dict[bytes, int] = {}
         twice, keys, parts = [], [], []
         for n, key, flags, blob in zip(*(table.column(c).to_pylist() for c in ("n", "key", "twice", "text")), strict=True):
@@ -391,16 +415,21 @@ def repeats(sent: DataFrame, length: int) -> DataFrame:
     return save_and_read(found.groupBy("chunk").agg(bits.alias("b")).select("chunk", F.col("b.bits").alias("starts")), "repeats-starts")
 
 
-def removed(joined: DataFrame, buckets: int, length: int) -> DataFrame:
+def removed(joined: DataFrame, buckets: int, ranges: int, length: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every document; ``spans`` are begin and end of each removed run."""
 
     def drop(batch: pa.RecordBatch):
         for record in records(batch):
             chunk = Chunk(record, length)
-            found, _, known = chunk.contexts(buckets, record["hot"])
+            found, _ = chunk.contexts(buckets)
+            single, part, _ = chunk.hot(ranges)
             step = np.zeros(len(chunk.data) + 1, np.int64)
-            marks = [known]
-            for b, blob in zip(sorted(found), record["starts"] or [], strict=True):
+            marks = [np.zeros(0, np.int64)]
+            blobs = record["starts"] or []
+            for p, blob in zip(np.unique(part).tolist(), blobs[len(found) :], strict=True):
+                own = single[part == p]
+                marks.append(own[np.unpackbits(np.frombuffer(released(blob), np.uint8))[: len(own)] > 0])
+            for b, blob in zip(sorted(found), blobs[: len(found)], strict=True):
                 bits, at = np.unpackbits(np.frombuffer(released(blob), np.uint8)), 0
                 for text, places in found[b].items():
                     n = len(text) - length + 1
@@ -436,28 +465,13 @@ def repeated_text(
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row of ``docs`` (``doc_id``, ``text``)."""
     stored = save_and_read(chunks(docs, length, gram, chunk_bytes).withColumn("chunk", F.monotonically_increasing_id()), "repeats-chunks")
     every = stored.select(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    codes = shared(stored, range_bits(2 * every // (length - gram + 2), range_keys), KEY_BITS, hot)
-    more, most = codes.agg(F.coalesce(F.sum("more"), F.lit(0)), F.coalesce(F.sum("most"), F.lit(0))).first()
+    codes = shared(stored, range_bits(2 * every // (length - gram + 2), range_keys), hot)
+    more, hottest = codes.agg(F.coalesce(F.sum("more"), F.lit(0)), F.coalesce(F.sum("hottest"), F.lit(0))).first()
     rows = stored.join(codes.select("chunk", "code"), "chunk", "left")
-    sent = more * (length + (length - gram) // 2)
-    if most:
-
-        def single(batch: pa.RecordBatch):
-            for record in records(batch):
-                hashes = Chunk(record, length).hot()[1]
-                if len(hashes):
-                    yield {"chunk": [record["chunk"]], "key": [packed(hashes)], "twin": [squeezed(bytes(len(hashes) + 7 >> 3))], "n": [len(hashes)]}
-
-        alone = save_and_read(map_batches(rows, "chunk long, key binary, twin binary, n long", single), "repeats-hot")
-        n = alone.agg(F.sum("n")).first()[0] or 0
-        again = shared(alone, range_bits(n, range_keys), 64, 2 * hot, 2)
-        sent += (again.agg(F.sum("more")).first()[0] or 0) * length
-        rows = rows.join(again.select("chunk", F.col("code").alias("hot")), "chunk", "left")
-    else:
-        rows = rows.withColumn("hot", F.lit(None).cast("array<binary>"))
-    buckets = -(-sent // bucket_bytes) or 1
-    found = repeats(contexts(rows, buckets, length), length)
-    return removed(rows.join(found, "chunk", "left"), buckets, length)
+    spread = (length - gram) // 2  # starts of a run, about
+    buckets, ranges = -(-more * (length + spread) // bucket_bytes) or 1, -(-hottest * spread * 16 // bucket_bytes) or 1
+    found = repeats(contexts(rows, buckets, ranges, length), buckets, length)
+    return removed(rows.join(found, "chunk", "left"), buckets, ranges, length)
 
 
 def duckdb_sql(length: int = LENGTH) -> str:
