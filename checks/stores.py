@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from logspark.operators import lookups, training
 from logspark.plans import incidents as plans
 from logspark.session import scratch_path
 from logspark.sources import lines, stores, triggers
+from logspark.sources.registry import CalibrationLog, ReportTables
 
 
 @query(
@@ -529,3 +531,47 @@ def answer_context(t: Tables):
 def briefing_once(t: Tables):
     first = t.conversations.groupBy("conv_id").agg(F.min("turn").alias("_first"))
     return t.conversations.join(first, "conv_id").select("conv_id", "turn", (F.col("turn") == F.col("_first")).alias("briefing"))
+
+
+@query(
+    "triage_reports",
+    oracle(
+        """SELECT event_id * 10 + k AS report_id, event_id AS log_id, CASE WHEN value > 100 THEN 'HIGH' ELSE 'INFO' END AS severity, source_id, message
+           FROM log_events, (VALUES (0), (1)) r(k) WHERE k = 0 OR value > 100""",
+        "log_events",
+    ),
+)
+def triage_reports(t: Tables):
+    """Two deltas of reports, the second for high values only, joined to bucketed logs."""
+    store = ReportTables(t.spark, scratch_path(t.spark, "reports"), f"reports_{uuid.uuid4().hex}", 8)
+    logs = t.log_events().withColumnRenamed("event_id", "log_id")
+    store.append_logs(logs.select("log_id", "source_id", "ts", "message"))
+    for k in (0, 1):
+        own = logs if k == 0 else logs.where("value > 100")
+        store.append_reports(
+            own.select(
+                (F.col("log_id") * 10 + k).alias("report_id"), "log_id", F.when(F.col("value") > 100, "HIGH").otherwise("INFO").alias("severity"), F.lit("none").alias("root_cause"),
+                F.lit(0.5).alias("confidence"), F.lit("rules").alias("model_used"), "ts",
+            )
+        )
+    return store.joined().select("report_id", "log_id", "severity", "source_id", "message")
+
+
+@query(
+    "calibration_log",
+    """SELECT 'model ' || l_suppkey % 5 AS kind, max_by(l_extendedprice, (l_shipdate, l_extendedprice)) AS threshold, max(l_shipdate) AS ts, (SELECT count(*) FROM lineitem x WHERE x.l_suppkey % 5 = l.l_suppkey % 5) AS versions
+       FROM lineitem l GROUP BY l_suppkey % 5""",
+)
+def calibration_log(t: Tables):
+    """Calibrations in three appends, with a snapshot between them."""
+    log = CalibrationLog(t.spark, scratch_path(t.spark, "calibrations"))
+    rows = t.lineitem.select(
+        F.concat(F.lit("model "), (F.col("l_suppkey") % 5).cast("string")).alias("kind"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_extendedprice").alias("threshold"), "l_orderkey",
+    )
+    for part in range(3):
+        log.append(rows.where(F.col("l_orderkey") % 3 == part).drop("l_orderkey"))
+        if part == 1:
+            log.compact()
+    versions = log.history().groupBy("kind").agg(F.count(F.lit(1)).alias("versions"))
+    return log.active().join(versions, "kind").select("kind", "threshold", F.col("ts").cast("timestamp_ntz").alias("ts"), "versions")
