@@ -17,7 +17,7 @@ from logspark.operators import lookups, training
 from logspark.plans import incidents as plans
 from logspark.session import scratch_path
 from logspark.sources import lines, stores, triggers
-from logspark.sources.registry import CalibrationLog, ReportTables
+from logspark.sources.registry import CalibrationLog, ReportTables, join_reports
 
 
 @query(
@@ -70,7 +70,7 @@ def resolve_log_groups(t: Tables):
 )
 def dedupe_sources(t: Tables):
     a = t.events.select(F.concat(F.lit("/app/"), "event_type").alias("log_group"))
-    return a.union(t.documents.select(F.concat(F.lit("/doc/"), "source"))).distinct()
+    return lines.dedupe_sources(a, t.documents.select(F.concat(F.lit("/doc/"), "source").alias("log_group")))
 
 
 @F.pandas_udf(StringType())
@@ -331,7 +331,8 @@ def nonblank_sources(t: Tables):
 )
 def report_log_join(t: Tables):
     verdicts = t.events.select("event_id", F.when(F.col("value") > 100, "HIGH").otherwise("INFO").alias("severity"))
-    return verdicts.join(t.log_events(), "event_id").select("event_id", "source_id", "message", "severity")
+    joined = join_reports(verdicts.withColumnRenamed("event_id", "log_id"), t.log_events().withColumnRenamed("event_id", "log_id"))
+    return joined.select(F.col("log_id").alias("event_id"), "source_id", "message", "severity")
 
 
 # Look-up specs: one of each kind per incident that was triggered by an alarm or a push.
@@ -404,11 +405,7 @@ def run_log_specs(t: Tables):
     ),
 )
 def sample_lines(t: Tables):
-    from logspark.operators.ordering import first_rows
-
-    few = first_rows(t.log_events(), ["log_group"], [F.asc("ts"), F.asc("event_id")], lookups.SAMPLE_LINES)
-    packed = few.groupBy("log_group").agg(F.array_sort(F.collect_list(F.struct("rank", "message"))).alias("l"))
-    return packed.select("log_group", F.array_join("l.message", "\n").alias("sample"))
+    return lookups.sample_lines(t.log_events(), ["log_group"], [F.asc("ts"), F.asc("event_id")])
 
 
 STATUS = """SELECT incident_id, query_key, lower(s.resource_type) AS resource_type, s.resource_id,
@@ -529,8 +526,7 @@ def answer_context(t: Tables):
     "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS briefing FROM conversations",
 )
 def briefing_once(t: Tables):
-    first = t.conversations.groupBy("conv_id").agg(F.min("turn").alias("_first"))
-    return t.conversations.join(first, "conv_id").select("conv_id", "turn", (F.col("turn") == F.col("_first")).alias("briefing"))
+    return plans.briefing_once(t.conversations).select("conv_id", "turn", "briefing")
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.reports import slot_text
 from logspark.functions.rules import matches_pattern
-from logspark.operators.ordering import number_rows
+from logspark.operators.ordering import first_rows, number_rows
 from logspark.session import save_and_read
 
 # Statistics of a metric query, resource kinds with a status, lines of a log sample.
@@ -184,3 +186,10 @@ def match_cached_query(questions: DataFrame, items: DataFrame, slots: str = "slo
     return joined.groupBy("question_id").agg(F.min_by(F.struct("query_key", "pos", "result"), best).alias("_i")).select(
         "question_id", "_i.*"
     )
+
+
+def sample_lines(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], line: str = "message", k: int = SAMPLE_LINES) -> DataFrame:
+    """``keys, sample``: the first ``k`` lines of each group by ``order``, joined by newlines. Null lines are left out of the text."""
+    few = first_rows(rows, list(keys), list(order), k)
+    packed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(line).alias("line")))).alias("_l"))
+    return packed.select(*keys, F.array_join("_l.line", "\n").alias("sample"))

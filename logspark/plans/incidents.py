@@ -107,6 +107,16 @@ def answer_context(questions: DataFrame, items: DataFrame, metrics: DataFrame, e
     )
 
 
+def briefing_once(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """``turns`` with ``briefing``: whether it is the first turn of its session. Each task sends one number a session, so a long session is no hot task.
+
+    Turns without a number, or without a session, get no briefing; several rows of the first number all get it.
+    """
+    first = turns.groupBy(F.col(session).alias("_session")).agg(F.min(turn).alias("_first"))
+    joined = turns.join(first, F.col(session) == F.col("_session"), "left")
+    return joined.withColumn("briefing", F.coalesce(F.col(turn) == F.col("_first"), F.lit(False))).drop("_session", "_first")
+
+
 def training_data(export: DataFrame) -> DataFrame:
     """``record_id, text, label`` from exported triage records, one tagged JSON item per row in ``item``."""
     items = import_incident_export(export)

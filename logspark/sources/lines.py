@@ -105,6 +105,14 @@ def resolve_log_groups(names: DataFrame, patterns: DataFrame) -> DataFrame:
     return hits.union(exact).distinct().orderBy("log_group")
 
 
+def dedupe_sources(first: DataFrame, *others: DataFrame, name: str = "log_group") -> DataFrame:
+    """The distinct source names of several tables of hits; a null name is no source."""
+    out = first.select(name)
+    for more in others:
+        out = out.union(more.select(name))
+    return out.where(F.col(name).isNotNull()).distinct()
+
+
 def admission_check(lines: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
     """Status of each request: ``empty``, ``too_many_lines``, ``too_large`` or ``accepted``."""
     sizes = lines.groupBy(key).agg(
