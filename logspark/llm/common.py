@@ -54,6 +54,18 @@ def map_partitions(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], object]) -> DataFrame:
+    """The rows of ``df`` for which ``fn`` of their Arrow batch gives true, with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(fn(batch), pa.bool_()))
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, df.schema)
+
+
 def let(then, **values: F.Column) -> F.Column:
     """``then`` applied to a struct of ``values``, each computed once."""
     return F.transform(F.array(F.struct(*(c.alias(k) for k, c in values.items()))), then)[0]
@@ -69,4 +81,4 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "keep_rows", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]

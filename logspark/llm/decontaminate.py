@@ -13,11 +13,13 @@ Test items are taken in blocks of a bounded number of words, so that what each t
 per block. A document's partners are not capped.
 
 Defined results: null or empty texts and items without a word match nothing. An item with fewer than three words is sought as
-a whole. Rows repeating a ``doc_id`` with another text give the best alignment under that id. Empty tables give no rows.
+a whole. Every input row that holds an item gives a row of its own, also where its ``doc_id`` is null or repeats; texts that share an ``item_id`` count as one
+item, the best. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, map_partitions, numbered
+from logspark.llm.common import keep_rows, map_batches, map_partitions
 
 #: Words of test items searched for in one pass over the documents.
 BLOCK_WORDS = 2_000_000
@@ -54,7 +56,7 @@ def tokens(column: pa.Array):
 class Index:
     """Test items of one block: their words, and the seeds with the places (item, word) where each occurs."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: list[np.ndarray]
     sizes: tuple[int, ...] = ()
     seeds: np.ndarray | None = None
@@ -125,23 +127,31 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, r
     ``docs`` holds ``doc_id, text`` and ``items`` ``item_id, text``; word positions count runs of letters and digits, the end exclusive.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
+    found = None
+    for index in _indexes(texts, items, rare, block_words):
+        part = _search(texts, index, similarity)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _indexes(texts: DataFrame, items: DataFrame, rare: float, block_words: int) -> Iterator[Index]:
+    """The test items in blocks of a bounded number of words; an ``item_id`` lies in one block."""
     sized = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     words = sized.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     blocks = -(-words // block_words) or 1
-    found = None
     for block in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        part = _search(texts, _index(rows), similarity, rare)
-        found = part if found is None else found.unionByName(part)
-    best = F.max_by(F.struct("similarity", "score", "begin_word", "end_word"), F.struct("score", -F.col("begin_word"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+        index = _index(rows)
+        vocabulary = index.vocabulary()
+        index.choose(_shares(texts, vocabulary) if len(vocabulary) else {}, rare, LEAST_SEEDS)
+        yield index
 
 
 def _index(rows: pa.Table) -> Index:
     words: list[np.ndarray] = []
     for piece in tokens(rows.column(1)):
         words += [piece.hashes[piece.at[r] : piece.at[r + 1]] for r in range(piece.rows)]
-    return Index(rows.column(0).to_numpy(), words)
+    return Index(rows.column(0).to_pylist(), words)
 
 
 def _shares(texts: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
@@ -166,21 +176,27 @@ def _shares(texts: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
     return {int(w): max(counts.get(i, 0), 0.5) / every for i, w in enumerate(vocabulary)}
 
 
-def _search(texts: DataFrame, index: Index, similarity: float, rare: float) -> DataFrame:
-    vocabulary = index.vocabulary()
-    index.choose(_shares(texts, vocabulary) if len(vocabulary) else {}, rare, LEAST_SEEDS)
+def _found(index: Index, column: pa.Array, similarity: float) -> list[tuple]:
+    """Row, item, score and span of the best alignment of each text and ``item_id``; of equal scores the first in the text."""
+    best: dict[tuple, tuple] = {}
+    for piece in tokens(column):
+        for row, item, score, begin, end in _piece(index, piece, similarity):
+            key = (row, index.ids[item])
+            if key not in best or (score, -begin) > (best[key][2], -best[key][3]):
+                best[key] = (row, item, score, begin, end)
+    return list(best.values())
+
+
+def _search(texts: DataFrame, index: Index, similarity: float) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(index)
 
     def search(batch: pa.RecordBatch):
         own, ids = sent.value, batch.column(0)
-        out: list[tuple] = []
-        for piece in tokens(batch.column(1)):
-            out += _piece(own, piece, similarity)
-        if out:
+        if out := _found(own, batch.column(1), similarity):
             row, item, score, begin, end = map(list, zip(*out, strict=True))
             full = np.array([MATCH * len(own.words[k]) for k in item])
             yield {
-                "doc_id": ids.take(pa.array(row, pa.int64())), "item_id": own.ids[item], "similarity": np.array(score) / full, "score": score,
+                "doc_id": ids.take(pa.array(row, pa.int64())), "item_id": [own.ids[k] for k in item], "similarity": np.array(score) / full, "score": score,
                 "begin_word": begin, "end_word": end,
             }
 
@@ -222,8 +238,16 @@ def _piece(index: Index, piece: textvec.Piece, similarity: float) -> list[tuple]
     return found
 
 
-def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a test item, with all their columns."""
-    rows = numbered(docs, "clean")
-    leaks = matches(rows.select(F.col("__row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(leaks, "__row", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rare: float = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without a test item, with all their columns: each is searched where its text is read, once for each block of items."""
+    texts, out = docs.select(F.col("doc_id").cast("long"), "text"), docs
+    for index in _indexes(texts, items, rare, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batch: pa.RecordBatch, sent=sent):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in _found(sent.value, batch.column("text"), similarity)]] = False
+            return keep
+
+        out = keep_rows(out, clean)
+    return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, numbered, save_and_read
+from logspark.llm.common import keep_rows, map_batches, save_and_read
 
 #: Characters of the base alphabets that are counted; bytes above 127 count as letters.
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -190,16 +190,21 @@ def curve(rows: DataFrame, model: Model) -> tuple[float, float]:
     return slope, offset
 
 
+def learn(rows: DataFrame, labels: DataFrame, held_out, shrinkage: float = SHRINKAGE) -> Model:
+    """A model of the measured ``rows`` (``doc_id, x``) that are labelled and not held out."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    learned = rows.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).join(known, "doc_id").select("label", "x")
+    return fit(save_and_read(learned, "quality-labelled"), shrinkage)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD, shrinkage: float = SHRINKAGE) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``, and its ``__row`` if it has one.
 
     ``labels`` holds ``doc_id, quality``; rows for which ``held_out`` (a function of the id column) is true are not learned from.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = save_and_read(measured(docs), "quality-statistics")
-    learned = rows.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).join(known, "doc_id").select("label", "x")
-    model = fit(save_and_read(learned, "quality-labelled"), shrinkage)
+    model = learn(rows, labels, held_out, shrinkage)
 
     def score(batch: pa.RecordBatch):
         x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS))
@@ -213,8 +218,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out, threshold: floa
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    rows = numbered(docs, "quality")
-    low = quality_scores(rows.select("doc_id", "text", "__row"), labels, held_out).where("predicted = 0").select("__row")
-    return rows.join(low, "__row", "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns: each is judged where its text is read."""
+    model = learn(measured(docs.select("doc_id", "text")), labels, held_out)
+    return keep_rows(docs, lambda batch: model.score(statistics(batch.column("text"))) >= threshold)

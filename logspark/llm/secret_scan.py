@@ -13,15 +13,18 @@ Rows repeating a ``doc_id`` are scanned one by one. An empty table gives an empt
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logspark.llm.common import map_batches, numbered, save_and_read
+from logspark.llm.common import map_batches, save_and_read
+from logspark.session import ship
 
 KINDS = ("assign", "access", "hex", "token")
 #: Fixed patterns. Key names match in either case.
@@ -67,27 +70,29 @@ def more_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[s
     return out
 
 
+FOUND = "array<struct<kind:string,start:long,stop:long,value:string,random:boolean>>"
+
+
+def candidate_spans(text: str | None) -> list[dict]:
+    """``kind, start, stop, value`` (a digest) and ``random`` of every candidate of a text."""
+    text, lowered = text or "", None
+    if not any(len(w) >= 16 for w in text.split()) and not any(stem in (lowered := lowered or text.lower()) for stem in STEMS):
+        return []
+    base = base_spans(text)
+    return [
+        {"kind": k, "start": a, "stop": b, "value": hashlib.sha256(v.encode()).hexdigest(), "random": entropy(v) >= ENTROPY and not DUMMY.search(v)}
+        for k, a, b, v in base + more_spans(text, base)
+    ]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (``doc_id, text, owner, repository``) with ``found``: ``kind, start, stop, value`` (a digest) and ``random``."""
+    """Every row of ``docs`` (``doc_id, text, owner, repository``) with ``found``: its candidates."""
 
     def scan(batch: pa.RecordBatch):
-        import hashlib
-
-        found = []
-        for text in batch.column("text").to_pylist():
-            own = []
-            text = text or ""
-            lowered = None
-            if any(len(w) >= 16 for w in text.split()) or any(stem in (lowered := lowered or text.lower()) for stem in STEMS):
-                base = base_spans(text)
-                for kind, start, stop, value in base + more_spans(text, base):
-                    random = entropy(value) >= ENTROPY and not DUMMY.search(value)
-                    own.append({"kind": kind, "start": start, "stop": stop, "value": hashlib.sha256(value.encode()).hexdigest(), "random": random})
-            found.append(own)
+        found = [candidate_spans(text) for text in batch.column("text").to_pylist()]
         yield {"doc_id": batch.column("doc_id"), "owner": batch.column("owner"), "repository": batch.column("repository"), "found": found}
 
-    schema = "doc_id long, owner string, repository string, found array<struct<kind:string,start:long,stop:long,value:string,random:boolean>>"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", "owner", "repository"), schema, scan)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", "owner", "repository"), f"doc_id long, owner string, repository string, found {FOUND}", scan)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -103,15 +108,22 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", ma
 
     A repository is a ``repository`` of an ``owner``. Base candidates all stay; of kind ``token`` only those that are live.
     """
-    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select("doc_id", "text", named(owner).alias("owner"), named(repository).alias("repository"))
     found = save_and_read(candidates(rows).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
+    return found.select("row", "doc_id").join(row_spans(found, max_owners), "row", "left").select("doc_id", F.coalesce("spans", F.array()).alias("spans"))
+
+
+def named(column: str) -> F.Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def row_spans(found: DataFrame, max_owners: int) -> DataFrame:
+    """``row, spans`` of every row of ``found`` (``row, owner, repository, found``) with a candidate."""
     each = found.select("row", F.explode("found").alias("f")).select("row", "f.*").join(ownership(found), "value")
     each = each.withColumn("live", F.col("random") & (F.col("owners") <= max_owners)).where("live or kind <> 'token'")
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).alias("rank")
     span = F.struct("start", order, "stop", "kind", "value", "owners", "repositories", "live")
-    spans = each.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))  # the spans of one text
-    return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.array()).alias("spans"))
+    return each.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))  # the spans of one text
 
 
 def joined(spans, keep) -> F.Column:
@@ -133,12 +145,22 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live-looking credential of each row replaced by ``mark``; all columns stay, ``n_chars`` follows the text."""
-    rows = numbered(docs, "secret")
-    live = secrets(rows.withColumn("doc_id", F.col("__row")))
-    live = live.select(F.col("doc_id").alias("__row"), F.filter("spans", lambda s: s["live"]).alias("__secret_spans"))
-    both = rows.join(live.where(F.size("__secret_spans") > 0), "__row", "left")
+def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repository: str = "lang", max_owners: int = OWNERS) -> DataFrame:
+    """``docs`` with every live-looking credential of each row replaced by ``mark``; all columns stay, ``n_chars`` follows the text.
+
+    Texts are stored once, with their candidates; only rows that have some meet their spans, all others stay where they are.
+    """
+
+    @F.pandas_udf(FOUND)
+    def scan(texts: pd.Series) -> pd.Series:
+        return texts.map(candidate_spans)
+
+    ship(docs.sparkSession)
+    rows = save_and_read(docs.withColumns({"__found": scan("text"), "__row": F.monotonically_increasing_id()}), "secret-rows")
+    some = rows.where(F.size("__found") > 0)
+    spans = row_spans(some.select(F.col("__row").alias("row"), named(owner).alias("owner"), named(repository).alias("repository"), F.col("__found").alias("found")), max_owners)
+    live = spans.select(F.col("row").alias("__row"), F.filter("spans", lambda s: s["live"]).alias("__secret_spans")).where(F.size("__secret_spans") > 0)
+    both = some.join(live, "__row", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(state, span):
@@ -155,4 +177,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    rest = rows.where(F.size("__found") == 0)
+    return rest.select(*docs.columns).unionByName(out.select(*docs.columns))
