@@ -6,8 +6,8 @@
 2. Each page is aligned with its reference by simple tree matching (equal labels, order of siblings kept, most nodes matched). For every
    node of the reference, the texts that pages have there are counted over all distinct pages of the group.
 3. A node that has the same text on nearly all pages is template; nodes with varying text are content. Of the content, menus, headers, footers,
-   sidebars, notices, adverts, forms and reader comments are left out by element, role and class, and where a page marks an article or main
-   element, what lies outside it.
+   sidebars, notices, adverts, forms and reader comments are left out by element, role and class. Where a page marks an article or main element, what lies
+   outside it is left out, and text inside it stays though other pages have it too.
 
 Groups' references and template nodes are sent to all tasks if they are few (``BROADCAST_GROUPS``), and joined by group beyond that.
 
@@ -191,14 +191,25 @@ def match(a: list, b: list, i: int = 0, j: int = 0) -> tuple[int, list[tuple[int
         rows.append(rows[-1] + size(c))
     for c in b[2]:
         columns.append(columns[-1] + size(c))
-    m, n = len(a[2]), len(b[2])
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pairs: dict[tuple[int, int], tuple[int, list]] = {}
-    for x in range(m):
-        for y in range(n):
-            pairs[x, y] = own = match(a[2][x], b[2][y], rows[x], columns[y])
-            best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + own[0])
-    found, x, y = [(i, j)], m, n
+    # Children of one shape at both beginnings, and at both ends, match each other in some best matching; only those between are compared.
+    head, m, n = 0, len(a[2]), len(b[2])
+    while head < min(m, n) and same_shape(a[2][head], b[2][head]):
+        head += 1
+    while min(m, n) > head and same_shape(a[2][m - 1], b[2][n - 1]):
+        m, n = m - 1, n - 1
+    found = [(i, j)]
+    equal = [(k, k) for k in range(head)] + [(m + k, n + k) for k in range(len(a[2]) - m)]
+    for x, y in equal:
+        found += [(rows[x] + k, columns[y] + k) for k in range(rows[x + 1] - rows[x])]
+    best = [[0] * (n - head + 1) for _ in range(m - head + 1)]
+    pairs: dict[tuple[int, int], list] = {}
+    for x in range(m - head):
+        for y in range(n - head):
+            count, inner = match(a[2][head + x], b[2][head + y], rows[head + x], columns[head + y])
+            if count:
+                pairs[x, y] = inner
+            best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + count)
+    total, x, y = len(found) + best[m - head][n - head], m - head, n - head
     while x and y:
         if best[x][y] == best[x - 1][y]:
             x -= 1
@@ -206,8 +217,8 @@ def match(a: list, b: list, i: int = 0, j: int = 0) -> tuple[int, list[tuple[int
             y -= 1
         else:
             x, y = x - 1, y - 1
-            found += pairs[x, y][1]
-    return best[m][n] + 1, found
+            found += pairs[x, y]
+    return total, found
 
 
 def aligned(tree: list, reference: list) -> dict[int, int]:
@@ -243,7 +254,7 @@ def extract(root: Node, template: set[int], where: dict[int, int]) -> str:
 
     def walk(node: Node, in_main: bool) -> None:
         own: list[str] = []
-        constant = where.get(id(node)) in template
+        constant = not in_main and where.get(id(node)) in template  # a marked article keeps all its text
 
         def flush() -> None:
             text = clean(own)

@@ -237,6 +237,42 @@ def test_tree_matching():
     assert html_wrapper.aligned(a, a) == {k: k for k in range(5)}
 
 
+def plain_matching(a, b):
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for x, c in enumerate(a[2]):
+        for y, d in enumerate(b[2]):
+            best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + plain_matching(c, d))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_is_the_best():
+    rng = np.random.default_rng(7)
+
+    def tree(depth):
+        return [str(rng.choice(list("abc"))), 0, [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []]
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        a[0] = b[0] = "r"
+        if rng.random() < 0.5:  # much in common
+            b[2] = a[2][:1] + b[2] + a[2][1:]
+        n, pairs = html_wrapper.match(a, b)
+        assert n == len(pairs) == plain_matching(a, b)
+        assert len({x for x, _ in pairs}) == len({y for _, y in pairs}) == n
+    long = lambda k: ["ul", 0, [["li", 0, [["p", 0, []]]] for _ in range(k)]]
+    assert html_wrapper.match(long(3000), long(3001))[0] == 6001
+
+
+def test_article_keeps_constant_text(spark):
+    """What all pages of a host say inside a marked article is article; what they say outside is not."""
+    page = '<body><div class="x">Our Site</div><article><h1>Summary</h1><p>Body {k} of this page.</p><p>Thanks for reading our paper.</p></article><p>More of us</p></body>'
+    rows = [(k, f"http://h.example/{k}", page.format(k=k)) for k in range(12)]
+    got = html_wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"Summary\n\nBody {k} of this page.\n\nThanks for reading our paper." for k in range(12)}
+
+
 def water_filling(sizes, weights, cap):
     """Share by weight; who is above the cap stops there and the rest is shared again."""
     left, target = float(sum(sizes)), [None] * len(sizes)
