@@ -176,4 +176,4 @@ def test_rows_with_the_same_id_are_judged_apart(spark, labels, nobody):
 
 
 def test_registered_with_guard():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)} and "pipeline" in entry.queries()
