@@ -15,7 +15,8 @@ from logspark.streaming import jobs, state
 
 def _stream(t: Tables, name: str):
     schema = t.spark.read.parquet(t.path(name)).schema
-    df = jobs.read_stream(t.spark, t.sf_dir, schema, name=f"{name}.parquet")
+    # A pattern matches a table of one file as well as a folder of files.
+    df = jobs.read_stream(t.spark, f"{t.path(name)[:-1]}[t]", schema)
     times = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.simpleString() == "timestamp_ntz"}
     return df.withColumns(times) if times else df
 
