@@ -161,12 +161,15 @@ class VectorStore:
         """``query_id, cell, corpus_id, similarity``: the best ``k`` rows for every visit of a query to a part of a cell."""
         wanted = sorted(r["cell"] for r in visits.select("cell").distinct().collect())  # cells, of which there are at most CELLS
         rows = self.rows().where(F.col("cell").isin(wanted)).select("cell", "corpus_id", "vector")
-        parts = F.element_at(F.create_map(*(F.lit(x).cast("int") for c in wanted for x in (c, salts[c]))), F.col("cell")) if wanted else F.lit(1)
-        load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"))
+        # Keys of both sides are of one type, bigint: equal numbers of two types go to different tasks.
+        zero = F.lit(0).cast("bigint")
+        sizes = (x for c in wanted for x in (F.lit(c).cast("int"), F.lit(salts[c]).cast("bigint")))
+        parts = F.element_at(F.create_map(*sizes), F.col("cell")) if wanted else zero + 1
+        load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("bigint").alias("cuts"))
         left = visits.join(load, "cell").withColumn("cut", F.pmod(F.xxhash64("query_id"), F.col("cuts")))
-        left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).select("cell", "salt", "cut", "query_id", "vector")
+        left = left.withColumn("salt", F.explode(F.sequence(zero, parts - 1))).select("cell", "salt", "cut", "query_id", "vector")
         right = rows.join(load.toDF("cell", "cuts"), "cell").withColumn("salt", F.pmod(F.xxhash64("corpus_id"), parts))
-        right = right.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("cell", "salt", "cut", "corpus_id", "vector")
+        right = right.withColumn("cut", F.explode(F.sequence(zero, F.col("cuts") - 1))).select("cell", "salt", "cut", "corpus_id", "vector")
 
         def product(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if q.empty or c.empty:

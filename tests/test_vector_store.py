@@ -82,3 +82,21 @@ def test_both_metrics_in_one_pass(spark):
     assert ties == [0, 1, 2]  # equal vectors by id
     with pytest.raises(ValueError):
         similarity.similarity_matrix(a, b, "odd")
+
+
+def test_search_over_many_partitions(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        store = VectorStore.create(spark, str(tmp_path / "many"), frame(spark, x, range(400)), cells=6)
+        store.append(frame(spark, x, range(400)))
+        queries = frame(spark, x, range(0, 400, 40)).select(F.col("corpus_id").alias("query_id"), "vector")
+        rows = store.search(queries, K, block=50).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for i in range(0, 400, 40):
+        want = list(np.argsort(-(x @ x[i]), kind="stable")[:K])
+        assert [r["corpus_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == i] == want
