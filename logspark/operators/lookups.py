@@ -64,35 +64,53 @@ def _between(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.filter((F.col("ts") >= asked.agg(F.min("_start")).scalar()) & (F.col("ts") <= asked.agg(F.max("end_ts")).scalar()))
 
 
-def run_metric_specs(specs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Datapoints of planned metric queries: ``incident_id, query_key, bucket, value``.
+def _distinct_lookups(specs: DataFrame, *fields: Column) -> tuple[DataFrame, DataFrame]:
+    """``incident_id, query_key, _lookup`` and the stored table of distinct ``_lookup``: the array of what a query asks for.
+
+    Queries that ask for the same share one look-up, so rows are met and summed once, however many incidents ask. Specs of one incident and key (of a plan
+    of about ten) are one look-up.
+    """
+    asking = specs.groupBy("incident_id", "query_key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_lookup"))
+    return asking, save_and_read(asking.select("_lookup").distinct(), "lookups")
+
+
+def metric_datapoints(specs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Planned metric queries with their ``datapoints``, an array of ``bucket, value`` in time order: ``incident_id, query_key, datapoints``.
 
     ``specs`` holds ``incident_id, query_key, namespace, metric_name, dimensions, stat, period_minutes,
     end_ts``; ``metrics`` holds ``namespace, metric_name, dimensions, ts, value``. A spec reads the
     datapoints of its last period that carry all of its dimensions. Sides meet on namespace, name, one
-    dimension and a time slot, so a busy metric is spread over its resources and time slots.
+    dimension and a time slot, so a busy metric is spread over its resources and time slots. Queries
+    without datapoints are not returned.
     """
-    period = F.coalesce("period_minutes", F.lit(60))
-    named = specs.withColumns({"_minutes": period, "_stat": F.coalesce("stat", F.lit("Average"))})
-    asked = _in_slots(named, F.col("_minutes"))
     # Sides also meet on one dimension of the spec; a spec without any meets the empty entry.
     none = F.struct(F.lit("").alias("key"), F.lit("").alias("value"))
     given = lambda c: F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    asked = asked.withColumn("dimensions", given(F.col("dimensions")))
+    named = specs.withColumns({"_minutes": F.coalesce("period_minutes", F.lit(60)), "_stat": F.coalesce("stat", F.lit("Average"))})
+    entries = F.array_sort(F.map_entries(given(F.col("dimensions")))).alias("_entries")
+    asking, lookups = _distinct_lookups(named, F.col("namespace"), F.col("metric_name"), entries, F.col("_stat"), F.col("_minutes"), F.col("end_ts"))
+    asked = _in_slots(lookups.select("_lookup", F.inline("_lookup")), F.col("_minutes"))
+    asked = asked.withColumn("_dim", F.coalesce(F.get("_entries", F.lit(0)), none))
     metrics = _between(metrics, asked).withColumn("dimensions", given(F.col("dimensions")))
-    entries = F.array_sort(F.map_entries("dimensions"))
-    asked = asked.withColumn("_dim", F.coalesce(F.get(entries, F.lit(0)), none))
     own = F.explode(F.concat(F.map_entries("dimensions"), F.array(none)))
-    cut = _slots_of(metrics.withColumn("_dim", own), asked).withColumnRenamed("dimensions", "_have")
-    rest = F.forall(entries, lambda e: F.try_element_at(F.col("_have"), e["key"]) == e["value"])
-    joined = asked.join(cut, ["namespace", "metric_name", "_len", "_slot", "_dim"]).filter(
-        F.col("ts").between(F.col("_start"), F.col("end_ts")) & ((F.size("dimensions") < 2) | rest)
+    meet = ["namespace", "metric_name", "_dim"]
+    # Only series that a spec names are spread over slots.
+    series = metrics.withColumn("_dim", own).join(asked.select(*meet).distinct(), meet, "left_semi")
+    cut = _slots_of(series, asked).withColumnRenamed("dimensions", "_have")
+    rest = F.forall("_entries", lambda e: F.try_element_at(F.col("_have"), e["key"]) == e["value"])
+    joined = asked.join(cut, [*meet, "_len", "_slot"]).filter(
+        F.col("ts").between(F.col("_start"), F.col("end_ts")) & ((F.size("_entries") < 2) | rest)
     )
     seconds = period_seconds(F.col("_minutes"))
     bucket = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / seconds) * seconds)
-    return joined.groupBy("incident_id", "query_key", bucket.alias("bucket")).agg(
-        _statistic(F.col("_stat"), "value").alias("value")
-    )
+    points = joined.groupBy("_lookup", bucket.alias("bucket")).agg(_statistic(F.col("_stat"), "value").alias("value"))
+    packed = points.groupBy("_lookup").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("datapoints"))
+    return asking.join(packed, "_lookup").select("incident_id", "query_key", "datapoints")
+
+
+def run_metric_specs(specs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Datapoints of planned metric queries (:func:`metric_datapoints`), one row each: ``incident_id, query_key, bucket, value``."""
+    return metric_datapoints(specs, metrics).select("incident_id", "query_key", F.inline("datapoints"))
 
 
 def run_log_specs(specs: DataFrame, events: DataFrame, limit: int = SAMPLE_LINES) -> DataFrame:
@@ -103,14 +121,14 @@ def run_log_specs(specs: DataFrame, events: DataFrame, limit: int = SAMPLE_LINES
     and counted, as the source query is limited too. Queries without a match are not returned.
 
     Matches are found once per pattern and numbered by time; a query looks up the number of its first
-    match and joins the next ``limit`` numbers, however many matches its time range holds.
+    match and joins the next ``limit`` numbers, however many matches its time range holds. Queries that
+    ask for the same share one look-up.
     """
     key = ["log_group", "_pattern"]
     minutes = F.coalesce("lookback_minutes", F.lit(60))
-    asked = specs.select(
-        "incident_id", "query_key", "log_group", F.coalesce("filter_pattern", F.lit("")).alias("_pattern"), "end_ts",
-        (F.col("end_ts") - F.make_dt_interval(mins=minutes)).alias("_start"),
-    )
+    start = (F.col("end_ts") - F.make_dt_interval(mins=minutes)).alias("_start")
+    asking, lookups = _distinct_lookups(specs, F.col("log_group"), F.coalesce("filter_pattern", F.lit("")).alias("_pattern"), F.col("end_ts"), start)
+    asked = lookups.select("_lookup", F.inline("_lookup"))
     events = _between(events.select("event_id", "log_group", "ts", "message"), asked)
     hits = events.join(asked.select(*key).distinct(), "log_group")
     hits = hits.filter(matches_pattern(F.col("message"), F.col("_pattern")))
@@ -129,9 +147,10 @@ def run_log_specs(specs: DataFrame, events: DataFrame, limit: int = SAMPLE_LINES
         "_seq", F.explode(F.sequence(F.col("_from"), F.col("_from") + (limit - 1)))
     )
     few = wanted.join(matched.toDF(*matched.columns), [*key, "_seq"]).filter(F.col("ts") <= F.col("end_ts")).withColumnRenamed("_seq", "rank")
-    packed = few.groupBy("incident_id", "query_key").agg(F.array_sort(F.collect_list(F.struct("rank", "ts", "message"))).alias("_l"))
+    packed = few.groupBy("_lookup").agg(F.array_sort(F.collect_list(F.struct("rank", "ts", "message"))).alias("_l"))
     lines = F.transform("_l", lambda x: F.concat(F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), x["message"]))
-    return packed.select("incident_id", "query_key", F.size("_l").cast("bigint").alias("event_count"), lines.alias("sample_lines"))
+    found = packed.select("_lookup", F.size("_l").cast("bigint").alias("event_count"), lines.alias("sample_lines"))
+    return asking.join(found, "_lookup").select("incident_id", "query_key", "event_count", "sample_lines")
 
 
 def run_status_specs(specs: DataFrame, snapshots: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -157,9 +176,11 @@ def run_status_specs(specs: DataFrame, snapshots: DataFrame, as_of: Column | Non
 def prefetch_union(metrics: DataFrame, logs: DataFrame, status: DataFrame) -> DataFrame:
     """Results of all planned look-ups of an incident: ``incident_id, category, query_key, result`` (JSON).
 
-    Datapoints of one metric query (about ten) are packed in time order; failed checks are dropped.
+    ``metrics`` holds the datapoints of a query (about ten) packed in time order, or one row each; failed checks are dropped.
     """
-    points = metrics.groupBy("incident_id", "query_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("datapoints"))
+    points = metrics
+    if "datapoints" not in metrics.columns:
+        points = metrics.groupBy("incident_id", "query_key").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("datapoints"))
 
     def part(df: DataFrame, category: str, *fields: str) -> DataFrame:
         return df.select("incident_id", F.lit(category).alias("category"), "query_key", F.to_json(F.struct(*fields)).alias("result"))

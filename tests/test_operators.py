@@ -288,3 +288,26 @@ def test_twelve_actions(spark):
     contexts = spark.createDataFrame([(1, [0.5] * DIM)], "incident_id long, x array<double>")
     scores = {r["action_id"]: r["estimate"] for r in score_actions(contexts, model).collect()}
     assert len(scores) == 12 and scores[11] == pytest.approx(11 * 0.5 * DIM)
+
+
+def test_equal_look_ups_are_run_once(spark, monkeypatch):
+    stored = {}
+
+    def keep(df, name, real=lookups.save_and_read):
+        out = real(df, name)
+        stored.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(lookups, "save_and_read", keep)
+    specs = spark.range(500).selectExpr(
+        "id AS incident_id", "'k' AS query_key", "'App' AS namespace", "'Latency' AS metric_name", "map('user', CAST(id % 2 AS STRING)) AS dimensions", "'Sum' AS stat",
+        "60L AS period_minutes", "60L AS lookback_minutes", "'/app' AS log_group", "'ERROR' AS filter_pattern", "TIMESTAMP '2024-01-01 01:00:00' AS end_ts",
+    )
+    rows = spark.range(60).selectExpr("id AS event_id", "'App' AS namespace", "'Latency' AS metric_name", "map('user', '0', 'zone', 'a') AS dimensions",
+        "TIMESTAMP '2024-01-01 00:00:30' + id * INTERVAL '1' MINUTE AS ts", "1.0D AS value", "'/app' AS log_group", "concat('ERROR ', id) AS message")
+    points = lookups.run_metric_specs(specs, rows).groupBy("incident_id").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["incident_id"] for r in points} == set(range(0, 500, 2)) and {(r["v"], r["n"]) for r in points} == {(60.0, 10)}
+    assert stored["lookups"] == [2]
+    logs = lookups.run_log_specs(specs, rows).collect()
+    assert len(logs) == 500 and {(r["event_count"], r["sample_lines"][0]) for r in logs} == {(50, "2024-01-01T00:00:30 ERROR 0")}
+    assert stored["lookups"] == [2, 1]
