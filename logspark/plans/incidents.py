@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logspark.functions.reports import guess_dimensions, guess_namespace, parse_plan, slot_value
 from logspark.operators.lookups import (
     match_cached_query,
+    metric_datapoints,
     prefetch_union,
     run_log_specs,
     run_metric_specs,
@@ -42,7 +43,7 @@ def run_plans(plans: DataFrame, metrics: DataFrame, events: DataFrame, snapshots
     """Results of all look-ups planned for each incident: ``incident_id, category, query_key, result``."""
     metric_specs, log_specs, status_specs = plan_specs(plans)
     return prefetch_union(
-        run_metric_specs(metric_specs, metrics), run_log_specs(log_specs, events), run_status_specs(status_specs, snapshots)
+        metric_datapoints(metric_specs, metrics), run_log_specs(log_specs, events), run_status_specs(status_specs, snapshots)
     )
 
 
