@@ -155,4 +155,6 @@ def label_distribution(rows: DataFrame, label: str = "label", labels: Sequence[s
 def write_dataset(rows: DataFrame, path: str) -> None:
     """Write texts and labels as JSON lines, and the label counts beside them."""
     rows.select("text", "label").write.mode("overwrite").json(f"{path}/samples")
-    label_distribution(rows).write.mode("overwrite").json(f"{path}/label_distribution")
+    # Counted from what was written, so that rows are made once.
+    written = rows.sparkSession.read.schema("label string").json(f"{path}/samples")
+    label_distribution(written).write.mode("overwrite").json(f"{path}/label_distribution")

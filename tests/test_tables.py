@@ -68,3 +68,20 @@ def test_reports_meet_logs_without_exchange(spark, tmp_path):
     got = sorted((r["log_id"], r["severity"], r["log_severity"], r["line"]) for r in joined.collect())
     assert got == [(3, "HIGH", "INFO", "line 3")] * 2 + [(61, "HIGH", "INFO", "line 61"), (99, "CRITICAL", "INFO", "line 99")]
     assert join_reports(store.reports().limit(0), store.logs()).count() == 0
+
+
+def test_dataset_rows_are_made_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from logspark.sources import stores
+
+    made = spark.sparkContext.accumulator(0)
+
+    def label(x):
+        made.add(1)
+        return "HIGH" if x % 3 else "INFO"
+
+    rows = spark.range(30).select(F.concat(F.lit("text "), "id").alias("text"), F.udf(label, "string")("id").alias("label"))
+    stores.write_dataset(rows, str(tmp_path / "set"))
+    counts = {r["label"]: r["count"] for r in spark.read.json(f"{tmp_path}/set/label_distribution").collect()}
+    assert counts == {"INFO": 10, "WARNING": 0, "HIGH": 20, "CRITICAL": 0} and made.value == 30
