@@ -31,7 +31,7 @@ def _spanning_hits(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
     """``source_id, rule`` for keywords that run over a line end.
 
     Only lines that begin or end with a part of such a keyword take part; they meet by line number. Keywords of more than three words
-    are left to an automaton.
+    are left to the search for rule tables.
     """
     multi = _breaks(rules)
     long = [(i, 0, k) for i, rule in enumerate(rules) for k in rule.keywords if k.count(" ") > 2]

@@ -80,3 +80,40 @@ def test_fixed_rules_of_four_words(spark):
     df = spark.createDataFrame([(1, 0, "the quick"), (1, 1, "brown fox"), (1, 2, "out of memory")], "source_id long, line_no long, line string")
     rules = (Rule(("quick brown fox out of",), "long"), *SIGNALS)
     assert explain.extract_signals(df, rules).first()["signals"] == ["long", "Out of memory"]
+
+
+def test_keywords_stay_off_the_driver(spark, monkeypatch):
+    """Neither signals nor first rules bring a row per rule to the driver, and rules that share a keyword meet a text once."""
+    table = spark.range(20_000).select(
+        F.col("id").alias("rule_id"), F.lit(1).alias("priority"), F.concat(F.lit("shared words "), F.hex(F.col("id") % 5000)).alias("keyword"),
+        F.hex("id").alias("label"), F.lit("HIGH").alias("severity"), F.lit(0.5).alias("confidence"),
+    )
+    lines = spark.createDataFrame([(k, 0, f"many SHARED words {k:X}") for k in range(300)], "source_id long, line_no long, line string")
+    rows, collect = [], type(lines).collect
+
+    def counted(df):
+        got = collect(df)
+        rows.append(len(got))
+        return got
+
+    with monkeypatch.context() as m:
+        m.setattr(type(lines), "collect", counted)
+        signals = explain.extract_signals(lines, table, 3)
+        causes = rule_tables.table_cause(lines, F.col("line"), table)
+    assert sum(rows) < 1000
+    got = {r["source_id"]: r["signals"] for r in signals.collect()}
+    assert got[7] == ["7", "138F", "2717"] and got[0x12] == ["1", "12", "1389"]
+    assert {r["source_id"]: r["root_cause"] for r in causes.collect()}[0x12] == "1"
+
+
+def test_filters_on_bytes_of_any_text(spark):
+    """Keywords of every length in letters of one to four bytes, with filters that let nearly everything pass."""
+    text = "Straße 東京 ñandú 🙂🙂 z " * 3
+    keywords = sorted({text[a : a + n] for a in range(0, 20, 3) for n in (1, 2, 3, 5, 8, 13, 21, 34)})
+    table = spark.createDataFrame([(k, k, w, f"L{k}", "HIGH", 0.5) for k, w in enumerate([*keywords, "京東", "🙂z"])], RULES)
+    lines = spark.createDataFrame([(1, 0, text[:9]), (1, 1, text[9:]), (2, 0, text), (3, 0, "")], "source_id long, line_no long, line string")
+    joined = {1: (text[:9] + " " + text[9:]).lower(), 2: text.lower(), 3: ""}
+    want = {(s, k) for s, t in joined.items() for k, w in enumerate([*keywords, "京東", "🙂z"]) if w.lower() in t}
+    for chars in (rule_tables.BLOCK_CHARS, 1):
+        got = [tuple(r) for r in rule_tables.line_hits(lines, table, chars).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
