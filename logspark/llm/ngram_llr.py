@@ -43,7 +43,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     r"""``row, doc_id, text`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
-    filled = F.filter(F.split("text", "\n"), lambda s: F.length(F.translate(s, " \t\n\x0b\x0c\r", "")) > 0)
+    filled = F.filter(F.split("text", "\n"), lambda s: F.ltrim(s, F.lit(" \t\n\x0b\x0c\r")) != "")
     rows = rows.withColumns({"_words": words(F.col("text")), "_lines": filled})
     rows = rows.withColumn("n_words", F.size("_words").cast("long"))
     window = F.transform(
@@ -54,7 +54,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     unique = F.size(F.array_distinct("_windows")) == F.size("_windows")
     rows = rows.withColumns(
         {
-            "word_chars": chars(F.col("text"), " \t\n\x0b\x0c\r").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": (F.length("text") - chars(F.col("text"), SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(unique, F.lit(0)).otherwise(repeat_words(F.col("_windows"))).cast("long"),
@@ -84,12 +84,20 @@ def tokens(text: Column) -> Column:
     return words(F.regexp_replace(F.coalesce(text, F.lit("")), r"([^\p{L}\p{N}\s]+)", " $1 "))
 
 
-def buckets(of_text: Column, n: int = BUCKETS) -> Column:
-    """The buckets of all tokens of a text and of all pairs of neighbouring tokens."""
+def with_buckets(df: DataFrame, n: int = BUCKETS) -> DataFrame:
+    """A row for each token of ``_tokens``, one row at least: ``one`` is the token's bucket and ``two`` that of it and the next token, null where there is none.
+
+    The hashes stand outside of array functions, where Spark compiles them.
+    """
     of = lambda h: F.pmod(h, F.lit(n)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(of_text) - 2), lambda i: of(F.xxhash64(of_text[i], of_text[i + 1], F.lit(2))))
-    single = F.transform(of_text, lambda a: of(F.xxhash64(a)))
-    return F.when(F.size(of_text) >= 2, F.concat(single, pairs)).otherwise(single)
+    at, size, token = F.col("_at"), F.size("_tokens"), lambda i: F.get("_tokens", i)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1))
+    return df.withColumn("_at", F.explode_outer(places)).withColumns(
+        {
+            "one": F.when(at.isNotNull(), of(F.xxhash64(token(at)))),
+            "two": F.when(at + 1 < size, of(F.xxhash64(token(at), token(at + 1), F.lit(2)))),
+        }
+    ).drop("_at", "_tokens")
 
 
 def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float = PRIOR, id_block: int = ID_BLOCK) -> DataFrame:
@@ -104,7 +112,7 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float
         rows = docs.select("doc_id", "text").where(inside("doc_id", block))
         marked = rows.join(F.broadcast(own), rows["doc_id"] == own["_trusted"], "left")
         marked = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), tokens(F.col("text")).alias("_tokens"))
-        grams = marked.select("t", F.explode(buckets(F.col("_tokens"), n)).alias("bucket"))
+        grams = with_buckets(marked, n).select("t", F.explode(F.array("one", "two")).alias("bucket")).where("bucket is not null")
         part = save_and_read(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "ngram-counts")
         found = part if found is None else found.unionByName(part)
     counts = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")) if blocks > 1 else found  # read three times below
@@ -116,14 +124,15 @@ def weights(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS, prior: float
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept`` for every row of ``docs``."""
-    table = F.broadcast(weights(docs, trusted))
+    table = weights(docs, trusted)
+    of = lambda name: F.broadcast(table.select(F.col("bucket").alias(name), F.col("weight").alias(f"weight_{name}")))
     base = with_base(docs)
     facts = [c for c in base.columns if c not in ("row", "text")]
-    grams = base.select("row", *facts, tokens(F.col("text")).alias("_tokens"))
-    grams = grams.withColumn("bucket", F.explode_outer(buckets(F.col("_tokens")))).drop("_tokens")
-    scored = grams.join(table, "bucket", "left").groupBy("row").agg(
-        *(F.first(c).alias(c) for c in facts), F.sum("weight").alias("sum"), F.count("bucket").alias("grams")
-    )
+    grams = with_buckets(base.select("row", *facts, tokens(F.col("text")).alias("_tokens")))
+    weight = F.coalesce("weight_one", F.lit(0.0)) + F.coalesce("weight_two", F.lit(0.0))
+    scored = grams.join(of("one"), "one", "left").join(of("two"), "two", "left").groupBy("row", *facts).agg(
+        F.sum(weight).alias("sum"), (F.count("one") + F.count("two")).alias("grams")
+    )
     score = F.coalesce(F.col("sum"), F.lit(0.0)) / (F.col("grams") + EXTRA_GRAMS)
     out = scored.withColumn("score", score)
     return out.select(*facts, "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))

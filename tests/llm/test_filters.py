@@ -177,3 +177,16 @@ def test_rows_with_the_same_id_are_judged_apart(spark, labels, nobody):
 
 def test_registered_with_guard():
     assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)} and "pipeline" in entry.queries()
+
+
+def test_buckets_are_hashed_outside_of_array_functions(spark):
+    df = spark.createDataFrame([(0, []), (1, ["a"]), (2, ["a", "b", "a"])], "row long, _tokens array<string>")
+    made = ngram_llr.with_buckets(df)
+    got = [tuple(r) for r in made.where("row > 0").collect()]
+    one = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(1 << 16))).first()[0] for w in "ab"}
+    two = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w[0]), F.lit(w[1]), F.lit(2)), F.lit(1 << 16))).first()[0] for w in ("ab", "ba")}
+    assert [tuple(r) for r in made.where("row = 0").collect()] == [(0, None, None)]
+    assert sorted(got, key=str) == sorted([(1, one["a"], None), (2, one["a"], two["ab"]), (2, one["b"], two["ba"]), (2, one["a"], None)], key=str)
+    docs = spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string")
+    plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "simple")
+    assert "lambda" not in plan and ngram_llr.quality_rules(docs, docs.limit(0)).count() == 2
