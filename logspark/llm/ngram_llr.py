@@ -130,8 +130,10 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     facts = [c for c in base.columns if c not in ("row", "text")]
     grams = with_buckets(base.select("row", *facts, tokens(F.col("text")).alias("_tokens")))
     weight = F.coalesce("weight_one", F.lit(0.0)) + F.coalesce("weight_two", F.lit(0.0))
-    scored = grams.join(of("one"), "one", "left").join(of("two"), "two", "left").groupBy("row", *facts).agg(
-        F.sum(weight).alias("sum"), (F.count("one") + F.count("two")).alias("grams")
+    # A filter on a grouping column moves below the grouping, where the repeats would be worked out again inside it.
+    late = ("n_repeat_words", "base_failed")
+    scored = grams.join(of("one"), "one", "left").join(of("two"), "two", "left").groupBy("row", *(c for c in facts if c not in late)).agg(
+        *(F.max(c).alias(c) for c in late), F.sum(weight).alias("sum"), (F.count("one") + F.count("two")).alias("grams")
     )
     score = F.coalesce(F.col("sum"), F.lit(0.0)) / (F.col("grams") + EXTRA_GRAMS)
     out = scored.withColumn("score", score)
