@@ -7,6 +7,8 @@ source of any size is never brought into one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,30 +48,28 @@ def _spanning_hits(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
     heads, tails = [], []
     for i, parts in multi:
         for cut in range(1, len(parts)):
-            heads.append(F.when(low.endswith(" ".join(parts[:cut])), F.lit(f"{i}/{cut}")))
-            tails.append(F.when(low.startswith(" ".join(parts[cut:])), F.lit(f"{i}/{cut}")))
+            heads.append((low.endswith(" ".join(parts[:cut])), f"{i}/{cut}"))
+            tails.append((low.startswith(" ".join(parts[cut:])), f"{i}/{cut}"))
         if len(parts) == 3:
-            heads += [F.when(low.endswith(parts[0]), F.lit(f"{i}/a")), F.when(low == parts[1], F.lit(f"{i}/b"))]
-            tails += [F.when(low == parts[1], F.lit(f"{i}/a")), F.when(low.startswith(parts[2]), F.lit(f"{i}/b"))]
-
-    def side(marks: list[Column], shift: int) -> DataFrame:
-        return lines.select(
-            "source_id", (F.col("line_no") + shift).alias("at"), F.explode(F.array_compact(F.array(*marks))).alias("cut")
-        )
-
-    pairs = side(heads, 1).join(side(tails, 0), ["source_id", "at", "cut"])
-    whole = pairs.filter(~F.col("cut").rlike("[ab]$"))
-    hits = whole.select("source_id", F.split_part("cut", F.lit("/"), F.lit(1)).cast("int").alias("rule"))
-    if any(len(parts) == 3 for _, parts in multi):
-        first = pairs.filter(F.col("cut").endswith("a")).select(
-            "source_id", (F.col("at") + 1).alias("at"), F.replace("cut", F.lit("/a"), F.lit("")).alias("rule")
-        )
-        last = pairs.filter(F.col("cut").endswith("b")).select(
-            "source_id", "at", F.replace("cut", F.lit("/b"), F.lit("")).alias("rule")
-        )
-        three = first.join(last, ["source_id", "at", "rule"]).select("source_id", F.col("rule").cast("int").alias("rule"))
-        hits = hits.union(three)
-    return hits
+            heads += [(low.endswith(parts[0]), f"{i}/a"), (low == parts[1], f"{i}/b")]
+            tails += [(low == parts[1], f"{i}/a"), (low.startswith(parts[2]), f"{i}/b")]
+
+    def marks(side: list[tuple[Column, str]], shift: int) -> list[Column]:
+        at = (F.col("line_no") + shift).alias("at")
+        return [F.when(hit, F.struct(at, F.lit(cut).alias("cut"), F.lit(shift).alias("head"))) for hit, cut in side]
+
+    # One pass over the lines: an end and a beginning meet where a place has both.
+    touched = lines.filter(reduce(or_, (hit for hit, _ in heads + tails)))
+    either = touched.select("source_id", F.explode(F.array(*marks(heads, 1), *marks(tails, 0))).alias("m")).select("source_id", "m.*")
+    sides = either.filter(F.col("source_id").isNotNull() & F.col("at").isNotNull()).groupBy("source_id", "at", "cut")
+    pairs = sides.agg(F.max("head").alias("ends"), F.min("head").alias("begins")).filter("ends = 1 and begins = 0")
+    # Two words of three that meet before a line (a), and two after it (b), give a hit together.
+    kind = F.split_part("cut", F.lit("/"), F.lit(2))
+    rule = F.split_part("cut", F.lit("/"), F.lit(1)).cast("int")
+    place = F.when(kind == "a", F.col("at") + 1).when(kind == "b", F.col("at"))
+    met = pairs.select("source_id", rule.alias("rule"), place.alias("place"), kind.alias("kind")).groupBy("source_id", "rule", "place")
+    halves = met.agg(F.max(F.col("kind") == "a").alias("a"), F.max(F.col("kind") == "b").alias("b"))
+    return halves.filter("place is null or (a and b)").select("source_id", "rule")
 
 
 def rule_flags(lines: DataFrame, rules: Sequence[Rule], more: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:

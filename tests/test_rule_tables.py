@@ -117,3 +117,12 @@ def test_filters_on_bytes_of_any_text(spark):
     for chars in (rule_tables.BLOCK_CHARS, 1):
         got = [tuple(r) for r in rule_tables.line_hits(lines, table, chars).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fixed_rules_read_lines_twice(spark):
+    """Once for keywords inside a line, once for those over line ends, whose two sides come from one pass."""
+    df = spark.createDataFrame([(1, 0, "Out"), (1, 1, "of"), (1, 2, "MEMORY"), (2, 0, "disk"), (2, 2, "full"), (None, 0, "disk"), (None, 1, "full")], "source_id long, line_no long, line string")
+    found = explain.extract_signals(df)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("Scan ") == 2
+    assert {r["source_id"]: r["signals"] for r in found.collect()} == {1: ["Out of memory"], 2: [], None: []}
