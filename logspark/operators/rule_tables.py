@@ -163,14 +163,14 @@ def _over_ends(ends: DataFrame, sent, reach: int) -> DataFrame:
 
 
 def _line_keywords(lines: DataFrame, keywords: DataFrame, block_chars: int) -> tuple[DataFrame, DataFrame]:
-    """``source_id, keyword``, each candidate once, and every ``source_id`` of ``lines``."""
+    """``source_id, keyword`` of the candidates, some of them more than once, and every ``source_id`` of ``lines``."""
     finder, reach = _keyword_filter(keywords, block_chars)
     sent = finder and lines.sparkSession.sparkContext.broadcast(finder)
     both = save_and_read(_lined(lines, sent, reach), "rule-hits")
     found, ends = both.where("keyword is not null").select("source_id", "keyword"), both.where("keyword is null")
     if reach:
         found = found.unionByName(_over_ends(ends, sent, reach))
-    return found.distinct(), ends.select("source_id").distinct()
+    return found, ends.select("source_id").distinct()
 
 
 def line_hits(lines: DataFrame, rules: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
