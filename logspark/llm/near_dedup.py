@@ -9,7 +9,9 @@ Steps, all of them joins and aggregations over band keys:
 2. Every class with a bucket mate is paired with the least class of each of its buckets and verified on full sets:
    a row per membership, however large the bucket.
 3. Verified links give components. Inside a bucket whose members are of one component nothing is left to find. In the
-   other buckets, classes of different components are paired and verified.
+   other buckets, classes of different components are paired and verified, in passes: where more than ``FEW`` pairs a
+   member are possible, a pass takes a forest of the most similar ones, and components grow before the next pass counts
+   what is left. In the first pass a bucket of many blocks meets inside blocks only. No pair is left out: the last pass has all that remain.
 
 Pairs are verified only if a link is possible at all. Each set also has a map of bits, one for each cell that a shingle
 falls in: a bit of one set that the other lacks is a shingle that they do not share, so the intersection is bounded
@@ -43,6 +45,10 @@ UNIVERSE = 1 << 20
 MAP_WORDS = 32
 #: Members of a bucket that meet at once; a larger bucket is cut into blocks, and blocks meet in pairs.
 BLOCK = 256
+#: Possible pairs a member up to which a meeting of blocks hands out all of them.
+FEW = 4
+#: Blocks up to which those of a bucket meet in the first pass.
+NEAR_BLOCKS = 2
 
 
 @cache
@@ -186,9 +192,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     links = save_and_read(links, "near-links")
     first = components(links, "near-first")
 
-    more = save_and_read(rest(buckets, sketch, first, percent), "near-rest")
-    extra = save_and_read(verify(more, texts).where(linked(percent)).select("a", "b").distinct(), "near-extra")
-    final = first if extra.isEmpty() else components(links.unionByName(extra), "near-final")
+    final, across, whole, before = first, False, False, None
+    while True:
+        more = save_and_read(rest(buckets, sketch, final, percent, across, whole), "near-rest")
+        extra = save_and_read(verify(more.where("a is not null"), texts).where(linked(percent)).select("a", "b").distinct(), "near-extra")
+        if grown := not extra.isEmpty():
+            links = links.unionByName(extra)
+            final = components(links, "near-final")
+        left, given = more.agg(F.sum("omitted"), F.count("a")).first()
+        if not left:
+            break
+        # All pairs follow where few were put off, or a forest has joined little.
+        whole = left <= given or across and (not grown or before is not None and 2 * left > before)
+        before = left if across else None
+        across = True
 
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component")
@@ -201,11 +218,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     )
 
 
-def possible(n: np.ndarray, cells: np.ndarray, n_r: np.ndarray, cells_r: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets can be linked, by size and by the cells that only one of the two has; arrays broadcast."""
+def common(n: np.ndarray, cells: np.ndarray, n_r: np.ndarray, cells_r: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersection, by size and by the cells that only one of the two sets has; arrays broadcast."""
     alone = np.bitwise_count(cells & ~cells_r).sum(-1, dtype=np.int64)
     alone_r = np.bitwise_count(cells_r & ~cells).sum(-1, dtype=np.int64)
-    most = np.minimum(n - alone, n_r - alone_r)
+    return np.minimum(n - alone, n_r - alone_r)
+
+
+def possible(n: np.ndarray, cells: np.ndarray, n_r: np.ndarray, cells_r: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can be linked."""
+    most = common(n, cells, n_r, cells_r)
     return 100 * most >= percent * (n + n_r - most)
 
 
@@ -227,17 +249,41 @@ def star(buckets: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs, "a long, b long", keep)
 
 
-def rest(buckets: DataFrame, sketch: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of bucket mates in different components where a link is possible; the star's pairs are left out."""
+def forest(u: np.ndarray, v: np.ndarray, order: np.ndarray) -> list[int]:
+    """Edges ``u, v`` of a spanning forest, taken in ``order``."""
+    top = {x: x for x in np.union1d(u, v).tolist()}
+    u, v, out = u.tolist(), v.tolist(), []
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for k in order.tolist():
+        x, y = find(u[k]), find(v[k])
+        if x != y:
+            top[x] = y
+            out.append(k)
+    return out
+
+
+def rest(buckets: DataFrame, sketch: DataFrame, found: DataFrame, percent: int, across: bool = True, whole: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of bucket mates in different components where a link is possible; the star's pairs are left out.
+
+    Without ``whole``, meetings with many such pairs give a forest over components, and without ``across`` only members of
+    one block meet in buckets of over ``NEAR_BLOCKS`` blocks; ``omitted`` of the row without ``a`` is then more than 0 if anything was put off.
+    """
     placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     size = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
     mixed = size.where("low < high").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     members = placed.where("rep <> pivot").drop("pivot").join(mixed, "key").join(sketch, "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")
-    blocks = members.groupBy("key", block).agg(F.collect_list(F.struct("rep", "n", "component", "cells")).alias("of"))
+    blocks = members.groupBy("key", "blocks", block).agg(F.collect_list(F.struct("rep", "n", "component", "cells")).alias("of"))
     blocks = save_and_read(blocks, "near-blocks")
     right = blocks.select("key", F.col("block").alias("block_r"), F.col("of").alias("of_r"))
-    meetings = blocks.join(right, "key").where("block <= block_r").select("of", "of_r")
+    alone = F.lit(not across) & (F.col("blocks") > NEAR_BLOCKS)
+    meetings = blocks.join(right, "key").where((F.col("block") == F.col("block_r")) | (F.col("block") < F.col("block_r")) & ~alone)
+    meetings = meetings.select("of", "of_r", (alone & (F.col("block") > 0)).cast("int").alias("skipped"))
 
     def fields(column: pa.Array, row: int):
         part = column[row].values
@@ -247,12 +293,23 @@ def rest(buckets: DataFrame, sketch: DataFrame, found: DataFrame, percent: int)
         for row in range(batch.num_rows):
             rep, n, own, cells = fields(batch.column(0), row)
             rep_r, n_r, own_r, cells_r = fields(batch.column(1), row)
+            same, pairs = np.array_equal(rep, rep_r), []
             for at in range(0, len(rep), 32):
                 cut = slice(at, at + 32)
                 sized = percent * np.maximum.outer(n[cut], n_r) <= 100 * np.minimum.outer(n[cut], n_r)
-                i, j = np.nonzero((own[cut, None] != own_r) & (rep[cut, None] != rep_r) & sized)
-                good = possible(n[cut][i], cells[cut][i], n_r[j], cells_r[j], percent)
-                a, b = rep[cut][i[good]], rep_r[j[good]]
-                yield {"a": np.maximum(a, b), "b": np.minimum(a, b)}
-
-    return map_batches(meetings, "a long, b long", meet).distinct()
+                apart = rep[cut, None] > rep_r if same else rep[cut, None] != rep_r
+                i, j = np.nonzero((own[cut, None] != own_r) & apart & sized)
+                most = common(n[cut][i], cells[cut][i], n_r[j], cells_r[j])
+                good = 100 * most >= percent * (n[cut][i] + n_r[j] - most)
+                pairs.append((i[good] + at, j[good], most[good]))
+            i, j, most = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            omitted = batch.column(2)[row].as_py()
+            if not whole and len(i) > FEW * (len(rep) if same else len(rep) + len(rep_r)):
+                few = forest(own[i], own_r[j], np.lexsort((rep_r[j], rep[i], -most / (n[i] + n_r[j] - most))))
+                omitted += len(i) - len(few)
+                i, j = i[few], j[few]
+            yield {"a": np.maximum(rep[i], rep_r[j]), "b": np.minimum(rep[i], rep_r[j]), "omitted": np.zeros(len(i), np.int64)}
+            if omitted:
+                yield {"a": [None], "b": [None], "omitted": [omitted]}
+
+    return map_batches(meetings, "a long, b long, omitted long", meet).groupBy("a", "b").agg(F.sum("omitted").alias("omitted"))

@@ -143,6 +143,40 @@ def test_rest_finds_links_off_the_star(spark):
     assert sorted(got, key=repr) == sorted(near_brute(rows), key=repr)
 
 
+def test_rest_grows_with_members(spark):
+    """A bucket of many look-alikes in components of their own gives few pairs at once, and says that more are left; asked for the whole, all."""
+    n = 300
+    reps = spark.range(n).select(F.col("id").alias("rep"))
+    buckets = reps.select(F.lit(1).cast("long").alias("key"), "rep", F.lit(0).cast("long").alias("pivot"))
+    sketch = reps.select("rep", F.lit(40).cast("long").alias("n"), F.array(*[F.lit(3).cast("long")] * near_dedup.MAP_WORDS).alias("cells"))
+    alone = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    got = near_dedup.rest(buckets, sketch, alone, 85).collect()
+    assert len(got) < 4 * n
+    assert sum(r["omitted"] for r in got) > 0
+    every = {(a, b) for a in range(1, n) for b in range(1, a)}
+    assert {(r["a"], r["b"]) for r in near_dedup.rest(buckets, sketch, alone, 85, whole=True).collect()} == every
+
+
+def test_rest_of_large_families(spark):
+    """Families of near copies whose star joins few of them: passes give the components of brute force."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for at in rng.choice(120, 1 + k % 4, replace=False):
+            text[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, near_dedup.FEW = near_dedup.FEW, 0
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 16
+    try:
+        got = [tuple(r) for r in near_dedup.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    finally:
+        near_dedup.FEW, near_dedup.BLOCK = few, block
+    assert sorted(got, key=repr) == sorted(near_brute(rows), key=repr)
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
