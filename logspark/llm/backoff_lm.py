@@ -39,17 +39,20 @@ RANGE_GRAMS = 1_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned numbers as bytes: a width, then all lowest bytes, all next ones and so on, which compresses well."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    """Unsigned numbers as bytes: a width and, coded by how often each byte occurs, all lowest bytes, all next ones and so on."""
+    if not len(values):
+        return bytes([1])
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(len(values), 8)[:, :width]
-    return bytes([width]) + planes.T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes.T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
+    width, size = blob[0], int.from_bytes(blob[1:9], "little")
+    out = np.zeros((size, 8), np.uint8)
+    if size:
+        planes = pa.decompress(blob[9:], decompressed_size=width * size, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, size).T
     return out.view("<u8").ravel()
 
 

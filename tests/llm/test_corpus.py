@@ -72,6 +72,13 @@ def test_packing():
         assert backoff_lm.unpack_sorted(backoff_lm.pack_sorted(np.sort(a))).tolist() == sorted(v)
 
 
+def test_packing_of_uneven_bytes():
+    """Word numbers and counts are mostly small; bytes that occur often take less room."""
+    values = np.random.default_rng(0).geometric(0.05, 20_000).astype(np.uint64)
+    assert len(backoff_lm.packed(values)) < 0.9 * len(values)
+    assert backoff_lm.unpacked(backoff_lm.packed(values)).tolist() == values.tolist()
+
+
 def near_brute(rows):
     sets = []
     for i, t in rows:
