@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.llm import decontaminate, mixing, near_dedup, quality_qda, secret_scan
-from logspark.llm.common import documents, numbered, save_and_read, table
+from logspark.llm.common import documents, flag_among, numbered, save_and_read, table
 from logspark.llm.queries import quality_held_out
 
 #: Word shingles in common of near duplicates, percent; the query op8 has a contract of its own. A pair at 0.8 misses all bands with probability
@@ -23,12 +23,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the least id (null last). Rows without words are no copies."""
+    """One row of each group of near duplicates: the one with the least id (null last). Rows without words are no copies.
+
+    Only rows that may be copies meet the list of copies; all others stay where they are.
+    """
     rows = numbered(docs, "near")
     found = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), PERCENT, BANDS).select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("order")
-    least = rows.select("__row", order).join(found, "__row").groupBy("component_id").agg(F.min("order").alias("least"))
-    return rows.join(least.select("least.__row"), "__row", "left_semi").select(*docs.columns)
+    group = rows.select("__row", order).join(found, "__row").groupBy("component_id")
+    least = group.agg(F.min("order").alias("least"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("least.__row").alias("first"))
+    copies = save_and_read(found.join(least, "component_id").where("__row <> first").select("__row"), "near-copies")
+    rows = flag_among(rows, "__row", copies, "__copy")
+    kept = rows.where("not __copy").unionByName(rows.where("__copy").join(copies, "__row", "left_anti"))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 from logspark.session import save_and_read, ship
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bits of one map of a filter of ids, and of a whole filter: 16 to 32 an id as long as the most allow it.
+MAP_BITS, LEAST_BITS, MOST_BITS = 1 << 15, 1 << 20, 1 << 27
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +31,22 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return save_and_read(docs.withColumn("__row", F.monotonically_increasing_id()), f"{name}-rows")
 
 
+def flag_among(rows: DataFrame, key: str, ids: DataFrame, flag: str, most: int = MOST_BITS) -> DataFrame:
+    """``rows`` with the boolean ``flag``: true wherever ``key`` is among the first column of ``ids``, and by chance for a few others.
+
+    The ids go to all tasks as maps of bits, 16 MB in all at most however many there are, so the rows stay where they are: a shuffle after it moves
+    flagged rows only. ``ids`` is read twice.
+    """
+    bits = min(most, max(LEAST_BITS, 1 << math.ceil(math.log2(16 * max(ids.count(), 1)))))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    at = ids.select(slot(ids.columns[0]).alias("slot")).select((F.col("slot") / MAP_BITS).cast("long").alias("__map"), (F.col("slot") % MAP_BITS).alias("bit"))
+    maps = at.repartition("__map").groupBy("__map").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    placed = rows.withColumn("__slot", slot(key)).withColumn("__map", (F.col("__slot") / MAP_BITS).cast("long"))
+    byte = F.substring("__bits", (F.col("__slot") % MAP_BITS / 8).cast("int") + 1, F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("__slot") % 8).cast("int"))
+    return placed.join(F.broadcast(maps), "__map", "left").select(*rows.columns, F.coalesce(bit == 1, F.lit(False)).alias(flag))
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterator[dict]]) -> DataFrame:
     """Run ``fn`` on every Arrow batch; it yields dictionaries of columns."""
 
@@ -81,4 +100,4 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "keep_rows", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "flag_among", "keep_rows", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, save_and_read
+from logspark.llm.common import flag_among, map_batches, save_and_read
 
 SHINGLE = 5
 #: Links need intersection / union >= PERCENT / 100.
@@ -126,7 +126,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (``a``, ``b``) with ``n_a``, ``n_b``, ``shared``: set sizes and intersection on full sets."""
+    """``pairs`` (``a``, ``b``) with ``n_a``, ``n_b``, ``shared``: set sizes and intersection on full sets. Only texts of pairs are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = flag_among(texts, "doc_id", ids, "paired").where("paired").drop("paired")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logspark.llm import backoff_lm, decontaminate, html_wrapper, mixing, near_dedup, queries, textvec
+from logspark.llm import backoff_lm, common, decontaminate, html_wrapper, mixing, near_dedup, queries, textvec
 from logspark.llm.common import save_and_read
 
 SF = "/root/testdata/sf0.01"
@@ -391,3 +391,40 @@ def test_pipeline(spark, odd):
         out = stage(spark, odd, "/root/testdata/sf0.001")
         assert out.count() <= odd.count() and (name == "mixture" or out.columns == odd.columns)
         assert stage(spark, odd.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_flags_of_ids(spark):
+    """Every id of the list is flagged, also with a filter far too small, and few others are otherwise; null is not among ids."""
+    ids = spark.range(0, 60_000, 3).select((F.col("id") * 1_000_003 - 7).alias("x"))
+    rows = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id") * 1_000_003 - 7).alias("doc_id"), (F.col("id") % 3 == 0).alias("listed"))
+    for most in (common.MOST_BITS, common.MAP_BITS):
+        got = common.flag_among(rows, "doc_id", ids, "flag", most).where("doc_id is not null").groupBy("listed").agg(F.avg(F.col("flag").cast("int")).alias("share")).collect()
+        share = {r["listed"]: r["share"] for r in got}
+        assert share[True] == 1 and (share[False] < 0.1 or most == common.MAP_BITS)
+    assert common.flag_among(rows, "doc_id", ids.limit(0), "flag").where("flag").count() == 0
+
+
+def test_texts_without_a_mate_stay_in_place(spark):
+    """Neither the verification of a few pairs nor the choice of rows shuffles the texts of all others."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(k, text(k)) for k in range(2000)] + [(2000, text(1)), (2001, text(2) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = save_and_read(docs, "mates")
+    pairs = spark.createDataFrame([(2000, 1), (2001, 2)], "a long, b long")
+    for df, n in ((near_dedup.verify(pairs, docs.select("doc_id", "text")), 2), (corpus_pipeline.near_duplicates(spark, docs, ""), 2000)):
+        assert df.count() == n
+        assert moved_texts(df) < 100
+
+
+def moved_texts(df):
+    """Rows with a text that a run of ``df`` shuffles."""
+    query = df._jdf.queryExecution()
+    query.toRdd().count()
+
+    def rows(node):
+        name = node.nodeName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and "text" in node.output().toString() else 0
+        return own + sum(map(rows, inner))
+
+    return rows(query.executedPlan())
