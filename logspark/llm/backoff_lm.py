@@ -2,10 +2,13 @@
 
 The relations, with n-grams as 64-bit hashes of words (A-Z lowered), and rows that hold many of them as sorted arrays:
 
-1. ``chunks``: documents in groups of about ``CHUNK_WORDS`` words, as numbers of the chunk's distinct words.
-2. ``grams``: per chunk and order the distinct n-grams with their counts, cut by ranges of the hash (a count before any shuffle).
-3. ``counts``: grams grouped by hash range, summed over all chunks, and joined back to each chunk's n-grams.
-4. ``scores``: counts regrouped by chunk, joined to the chunk's exploded n-grams and summed per document.
+1. ``chunks``: documents in groups of about ``CHUNK_WORDS`` words, as numbers of the chunk's distinct words; stored in buckets, so they are not moved again.
+2. ``marks``: per chunk and order ``MARK_BITS`` bits of each distinct n-gram, cut by ranges of the hash.
+3. ``shared``: marks grouped by hash range, and for each n-gram of a chunk whether another chunk has its mark. An n-gram without such a mark is the
+   chunk's own, and the chunk knows its count.
+4. ``grams``: the distinct n-grams with shared marks, with their counts, cut alike (a count before any shuffle).
+5. ``counts``: grams grouped by hash range, summed over all chunks, and joined back to each chunk's n-grams. Two n-grams of one mark stay apart here.
+6. ``scores``: counts regrouped by chunk, joined to the chunk's exploded n-grams and summed per document.
 
 A document's own n-grams are taken off the counts before it is scored, so a document does not vouch for itself. A word's score is the relative
 count of the longest n-gram ending in it that other documents have, times ``ALPHA`` for each word of context given up; a word that no other
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logspark.llm import textvec
-from logspark.llm.common import map_batches, map_partitions, save_and_read
+from logspark.llm.common import map_batches, map_partitions, save_and_read, save_in_buckets
 from logspark.session import ship
 
 ORDER = 3
@@ -36,6 +39,8 @@ ALPHA = 0.4
 UNSEEN = 0.5
 CHUNK_WORDS = 1_000_000
 RANGE_GRAMS = 1_000_000
+#: Bits by which n-grams of a range are told apart at first; a million n-grams leave one in 64 with the mark of another.
+MARK_BITS = 26
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -119,22 +124,77 @@ def cut(distinct: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
 
 
-def gram_tables(rows: DataFrame, order: int, bits: int) -> DataFrame:
-    """``range, chunk, grams, n``: sorted n-grams of a chunk within a range of hashes, with their counts. Orders share the ranges."""
+def shared_among(distinct: np.ndarray, bits: int, found: list[tuple[int, bytes]]) -> np.ndarray:
+    """Whether another chunk has the mark of each of the ``distinct`` n-grams, from the ``shared`` bits of their slices."""
+    at, out = cut(distinct, bits), np.zeros(len(distinct), bool)
+    for s, flags in found:
+        out[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=at[s + 1] - at[s])
+    return out
+
+
+def flags_by_order(table: pa.Table, order: int) -> list[list[tuple[int, bytes]]]:
+    """``shared`` of the rows of a chunk that have it, with the number of the slice, by order."""
+    out: list[list[tuple[int, bytes]]] = [[] for _ in range(order)]
+    for place, flags in zip(table.column("range").to_pylist(), table.column("shared").to_pylist(), strict=True):
+        if flags is not None:
+            out[place % order].append((place // order, flags))
+    return out
+
+
+def mark_tables(rows: DataFrame, order: int, bits: int, mark_bits: int) -> DataFrame:
+    """``range, chunk, marks``: the marks of a chunk's sorted n-grams within a range of hashes. Orders share the ranges."""
 
     def run(batch: pa.RecordBatch):
         for r in batch.to_pylist():
             own = Chunk(r["size"], r["tokens"], r["vocabulary"], r["rank"])
             for k in range(1, order + 1):
-                _, _, distinct, n = own.grams(k)
+                distinct = own.grams(k)[2]
                 at = cut(distinct, bits)
                 some = np.flatnonzero(np.diff(at))
+                marks = (distinct << np.uint64(bits)) >> np.uint64(64 - mark_bits)
                 yield {
                     "range": [int(s) * order + k - 1 for s in some], "chunk": [r["chunk"]] * len(some),
-                    "grams": [pack_sorted(distinct[at[s] : at[s + 1]]) for s in some], "n": [packed(n[at[s] : at[s + 1]]) for s in some],
+                    "marks": [pack_sorted(marks[at[s] : at[s + 1]]) for s in some],
                 }
 
-    return map_batches(rows, "range long, chunk long, grams binary, n binary", run)
+    return map_batches(rows, "range long, chunk long, marks binary", run)
+
+
+def shared_marks(tables: DataFrame) -> DataFrame:
+    """``range, chunk, shared``: a bit for each of the marks, in the same order, set if another chunk has it too."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        marks = [unpack_sorted(x) for x in table.column("marks").to_pylist()]
+        distinct, holders = np.unique(np.concatenate([np.unique(m) for m in marks]), return_counts=True)
+        flags = [np.packbits(holders[np.searchsorted(distinct, m)] > 1).tobytes() for m in marks]
+        return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "shared": pa.array(flags, pa.binary())})
+
+    ship(tables.sparkSession)
+    return tables.groupBy("range").applyInArrow(compare, "range long, chunk long, shared binary")
+
+
+def gram_tables(rows: DataFrame, shared: DataFrame, order: int, bits: int) -> DataFrame:
+    """``range, chunk, grams, n``: sorted n-grams of a chunk within a range whose marks are ``shared``, with their counts."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict = {"range": [], "chunk": [], "grams": [], "n": []}
+        found = flags_by_order(right, order)
+        for r in left.to_pylist():
+            own = Chunk(r["size"], r["tokens"], r["vocabulary"], r["rank"])
+            for k in range(1, order + 1):
+                _, _, distinct, n = own.grams(k)
+                kept = shared_among(distinct, bits, found[k - 1])
+                distinct, n = distinct[kept], n[kept]
+                at = cut(distinct, bits)
+                for s in np.flatnonzero(np.diff(at)):
+                    out["range"].append(int(s) * order + k - 1)
+                    out["chunk"].append(r["chunk"])
+                    out["grams"].append(pack_sorted(distinct[at[s] : at[s + 1]]))
+                    out["n"].append(packed(n[at[s] : at[s + 1]]))
+        return pa.table(out, schema=pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())]))
+
+    ship(rows.sparkSession)
+    return rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, "range long, chunk long, grams binary, n binary")
 
 
 def corpus_counts(tables: DataFrame) -> DataFrame:
@@ -178,24 +238,31 @@ def score_chunk(own: Chunk, counts: list[np.ndarray], order: int, corpus_words:
     return np.bincount(own.doc, weights=logs, minlength=len(size))
 
 
-def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_words: int = CHUNK_WORDS, range_grams: int = RANGE_GRAMS) -> DataFrame:
+def scores(
+    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, chunk_words: int = CHUNK_WORDS, range_grams: int = RANGE_GRAMS, mark_bits: int = MARK_BITS
+) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` for every row of ``docs`` (``doc_id``, ``text``)."""
-    rows = save_and_read(chunks(docs, chunk_words).withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+    rows = save_in_buckets(chunks(docs, chunk_words).withColumn("chunk", F.monotonically_increasing_id()), "chunk", "lm-chunks")
     words = rows.select(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(words / range_grams, 1))))
-    counts = corpus_counts(gram_tables(rows, order, bits))
+    shared = save_and_read(shared_marks(mark_tables(rows, order, bits, mark_bits)), "lm-shared")
+    counts = corpus_counts(gram_tables(rows, shared, order, bits))
+    known = shared.withColumn("n", F.lit(None).cast("binary")).unionByName(counts.withColumn("shared", F.lit(None).cast("binary")))
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict = {"doc_id": [], "n_words": [], "log_score": []}
+        flags = flags_by_order(right, order)
+        found = sorted((at, n) for at, n in zip(right.column("range").to_pylist(), right.column("n").to_pylist(), strict=True) if n is not None)
         for r in left.to_pylist():
-            own = Chunk(r["size"], r["tokens"], r["vocabulary"], r["rank"])
-            found = sorted(zip(right.column("range").to_pylist(), right.column("n").to_pylist(), strict=True))
-            empty = [np.zeros(0, np.int64)]
-            per_order = [np.concatenate(empty + [unpacked(n).astype(np.int64) for at, n in found if at % order == k]) for k in range(order)]
+            own, per_order = Chunk(r["size"], r["tokens"], r["vocabulary"], r["rank"]), []
+            for k in range(order):
+                _, _, distinct, n = own.grams(k + 1)
+                n[shared_among(distinct, bits, flags[k])] = np.concatenate([np.zeros(0, np.int64)] + [unpacked(x).astype(np.int64) for at, x in found if at % order == k])
+                per_order.append(n)
             out["doc_id"] += r["doc_id"]
             out["n_words"] += r["size"]
             out["log_score"] += score_chunk(own, per_order, order, words, alpha).tolist()
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())]))
 
-    found = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
+    found = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, log_score double")
     return found.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

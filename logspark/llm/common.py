@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from logspark.session import save_and_read, ship
+from logspark.session import save_and_read, save_in_buckets, ship
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits of one map of a filter of ids, and of a whole filter: 16 to 32 an id as long as the most allow it.
@@ -100,4 +100,4 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "flag_among", "keep_rows", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "table", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "count_words", "documents", "flag_among", "keep_rows", "let", "map_batches", "map_partitions", "numbered", "save_and_read", "save_in_buckets", "table", "words"]

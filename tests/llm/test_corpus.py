@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logspark.llm import backoff_lm, common, decontaminate, html_wrapper, mixing, near_dedup, queries, textvec
-from logspark.llm.common import save_and_read
+from logspark.llm.common import save_and_read, save_in_buckets
 
 SF = "/root/testdata/sf0.01"
 #: Everything but title and body is template or apart.
@@ -65,6 +65,26 @@ def test_backoff_query_uses_trigrams(spark, tmp_path):
     assert got == sorted(backoff(rows, 3, 0.4)) and got != sorted(backoff(rows, 2, 0.4))
 
 
+def test_backoff_with_few_marks(spark):
+    """Marks that nearly all n-grams share change no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = backoff_lm.scores(docs, chunk_words=3000, range_grams=5000, mark_bits=3).collect()
+    assert sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in got) == sorted(backoff(rows, 3, 0.4))
+
+
+def test_backoff_moves_shared_ngrams_only(spark):
+    """Chunks stay where they are stored, and n-grams that one chunk has alone do not leave it."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(500)) + " end of it") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = backoff_lm.scores(docs, chunk_words=600)
+    assert got.count() == 40 and moved(got, "tokens") == 0
+    kept = save_in_buckets(backoff_lm.chunks(docs, 600).withColumn("chunk", F.monotonically_increasing_id()), "chunk", "chunks")
+    shared = backoff_lm.shared_marks(backoff_lm.mark_tables(kept, 3, 0, backoff_lm.MARK_BITS))
+    sent = [len(backoff_lm.unpack_sorted(r["grams"])) for r in backoff_lm.gram_tables(kept, shared, 3, 0).collect()]
+    assert 0 < sum(sent) < 40 * 12
+
+
 def test_packing():
     for v in ([], [0], [5, 1 << 40, 255], list(range(1000))):
         a = np.array(v, np.uint64)
@@ -413,18 +433,18 @@ def test_texts_without_a_mate_stay_in_place(spark):
     pairs = spark.createDataFrame([(2000, 1), (2001, 2)], "a long, b long")
     for df, n in ((near_dedup.verify(pairs, docs.select("doc_id", "text")), 2), (corpus_pipeline.near_duplicates(spark, docs, ""), 2000)):
         assert df.count() == n
-        assert moved_texts(df) < 100
+        assert moved(df, "text") < 100
 
 
-def moved_texts(df):
-    """Rows with a text that a run of ``df`` shuffles."""
+def moved(df, column):
+    """Rows with ``column`` that a run of ``df`` shuffles."""
     query = df._jdf.queryExecution()
     query.toRdd().count()
 
     def rows(node):
         name = node.nodeName()
         inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
-        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and "text" in node.output().toString() else 0
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and column in node.output().toString() else 0
         return own + sum(map(rows, inner))
 
     return rows(query.executedPlan())
