@@ -1,4 +1,7 @@
-"""The scan of many runs: windows with copies are scored once."""
+"""The scan of many runs: what several runs ask for and windows with copies are handled once."""
+
+from datetime import datetime, timedelta
+from math import ceil
 
 import numpy as np
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.vectors import hash_vector, line_template
 from logspark.operators import similarity
+from logspark.plans import scan
 
 
 def window_scores(vectors, size, k):
@@ -43,3 +47,45 @@ def test_equal_windows_are_scored_once(spark, monkeypatch, k):
         for source in (1, 2, 3):
             for start, score in window_scores([np.array(vectors[line]) for line in logs[source]], 4, k):
                 assert np.isclose(by[source, start], score, atol=1e-9)
+
+
+def test_runs_that_ask_alike_share_their_sources(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["INFO cache hit", "ERROR disk full", "WARN disk slow", "FATAL worker killed, out of memory"]
+    at = datetime(2024, 1, 2, 9)
+    logs = [("/app/error", at + timedelta(seconds=i // 2), i, texts[w]) for i, w in enumerate(rng.choice(4, 120, p=[0.9, 0.05, 0.03, 0.02]))]
+    end = at + timedelta(minutes=10)
+    # Three runs over the same times with two budgets, one with room for everything, one that ends before.
+    runs = [(1, end, 900 + 256 + 50, "{}"), (2, end, 1300 + 256 + 50, "{}"), (3, end, 900 + 256 + 50, "{}"), (4, end, 100_000, "{}"), (5, at + timedelta(seconds=29), 900 + 256 + 50, "{}")]
+    scored, original = [], scan.density_windows
+
+    def counted(df, *rest):
+        scored.append(df.count())
+        return original(df, *rest)
+
+    monkeypatch.setattr(scan, "density_windows", counted)
+    monkeypatch.setattr(scan, "CUT_RUNS", 1, raising=False)
+    events = spark.createDataFrame(runs, "run_id long, ts timestamp, context_window long, event string")
+    patterns = spark.createDataFrame([("/app/error",)], "pattern string")
+    table = spark.createDataFrame(logs, "log_group string, ts timestamp, seq long, message string")
+    got = scan.scan_events(events, patterns, table, F.col("context_window"), F.lit(256), F.lit(50), 60, dim=16)
+    by = {}
+    for r in got.sections.collect():
+        by.setdefault(r["run_id"], []).append((r["line_no"], r["line"], r["block"]))
+    assert scored == [120 + 60]
+    whole = [f"{ts:%Y-%m-%dT%H:%M:%S}+00:00 {text}" for _, ts, _, text in logs]
+    context = len("Trigger type: schedule\nThis is a scheduled scan, not triggered by a specific alarm.") // 4
+    vector = {r["line"]: np.array(r["v"]) for r in spark.createDataFrame([(x,) for x in whole], "line string").select("line", hash_vector(line_template(F.col("line")), 16).alias("v")).collect()}
+    for run, _, window, _ in runs:
+        lines = whole[:60] if run == 5 else whole
+        wanted = set(range(len(lines)))
+        if run != 4:
+            tokens, available = (sum(map(len, lines)) + len(lines) - 1) // 4, window - 256 - 50 - 500 - context
+            scores = sorted((-round(score, 9), start) for start, score in window_scores([vector[x] for x in lines], 4, 5))
+            best = scores[: ceil(available / tokens * len(scores))]
+            wanted = {start + i for _, start in best for i in range(4)}
+            assert len(wanted) < len(lines)
+        assert sorted((n, line) for n, line, _ in by[run]) == sorted((n, lines[n]) for n in wanted), run
+        assert all((block is None) == (run == 4) for _, _, block in by[run])
+    assert by[1] and sorted(by[1]) == sorted(by[3])
+    assert {r["run_id"] for r in got.analyses.collect()} == {1, 2, 3, 4, 5}
